@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from offerlens.llm.common import read
+from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.secrets import scan_secrets
 
 
@@ -10,5 +11,9 @@ def op7_secrets(spark, sf_dir):
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_secrets": op7_secrets}
+def op9_licenses(spark, sf_dir):
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
