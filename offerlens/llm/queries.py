@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from offerlens.llm.common import read
+from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.secrets import scan_secrets
 
 
+def op6_language(spark, sf_dir):
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark, sf_dir):
     return scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -15,5 +20,5 @@ def op9_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+QUERIES = {"op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
