@@ -6,6 +6,11 @@ from offerlens.llm.common import read
 from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.secrets import scan_secrets
+from offerlens.llm.toxicity import toxicity
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op6_language(spark, sf_dir):
@@ -20,5 +25,5 @@ def op9_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+QUERIES = {"op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
