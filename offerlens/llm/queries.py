@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from offerlens.llm.common import read
 from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
+from offerlens.llm.vptree import nearest
 
 
 def op5_toxicity(spark, sf_dir):
@@ -25,5 +28,9 @@ def op9_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+def op10_neighbours(spark, sf_dir):
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+QUERIES = {"op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
