@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import read
 from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
+from offerlens.llm.neardup import near_duplicates
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
 from offerlens.llm.vptree import nearest
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -32,5 +37,5 @@ def op10_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
