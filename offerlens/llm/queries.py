@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlens.llm.common import read
+from offerlens.llm.decontaminate import contaminated
 from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.neardup import near_duplicates
@@ -17,6 +18,10 @@ def op1_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,5 +42,5 @@ def op10_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
