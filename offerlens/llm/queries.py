@@ -9,6 +9,7 @@ from offerlens.llm.decontaminate import contaminated
 from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.neardup import near_duplicates
+from offerlens.llm.pieces import encode_pieces
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
 from offerlens.llm.vptree import nearest
@@ -34,6 +35,10 @@ def op7_secrets(spark, sf_dir):
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark, sf_dir):
+    return encode_pieces(read(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+QUERIES = {"op8_pieces": op8_pieces, "op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
