@@ -9,6 +9,7 @@ from offerlens.llm.decontaminate import contaminated
 from offerlens.llm.langid import language_id
 from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.neardup import near_duplicates
+from offerlens.llm.packing import pack
 from offerlens.llm.pieces import encode_pieces
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
@@ -19,6 +20,10 @@ def op1_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,5 +52,5 @@ def op10_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op8_pieces": op8_pieces, "op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+QUERIES = {"op2_packing": op2_packing, "op8_pieces": op8_pieces, "op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
 ORACLE_SQL: dict[str, str] = {}
