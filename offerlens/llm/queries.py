@@ -11,6 +11,7 @@ from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.neardup import near_duplicates
 from offerlens.llm.packing import pack
 from offerlens.llm.pieces import encode_pieces
+from offerlens.llm import preference
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
 from offerlens.llm.vptree import nearest
@@ -28,6 +29,11 @@ def op3_decontaminate(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_preference(spark, sf_dir):
+    pairs = preference.format_pairs(preference.sampled_rejections(read(spark, sf_dir, "conversations")))
+    return pairs.withColumns({c: preference.as_text(F.col(c)) for c in ("chosen_loss", "rejected_loss")})
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,5 +58,5 @@ def op10_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_pieces": op8_pieces, "op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_preference": op4_preference, "op2_packing": op2_packing, "op8_pieces": op8_pieces, "op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+ORACLE_SQL: dict[str, str] = {"op4_preference": preference.ORACLE}
