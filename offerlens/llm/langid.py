@@ -172,31 +172,51 @@ def train(labelled: DataFrame, bound: int = 3000, seed: int = 3) -> ByteNet | No
     return net
 
 
+def _judge(net: ByteNet | None, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of whole texts."""
+    n = len(col)
+    pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    has = pc.match_substring_regex(col, r"\p{L}").to_numpy(zero_copy_only=False)
+    if net is not None and has.any():
+        data, off = utf8(col)
+        x, doc, letters = windows(data, off, net.classes)
+        keep = letters > 0
+        x, doc, letters = x[keep], doc[keep], letters[keep]
+        p = net.probabilities(x) * letters[:, None]
+        total = np.stack([np.bincount(doc, p[:, c], n) for c in range(len(net.langs))], 1)
+        total /= np.maximum(np.bincount(doc, letters, n), 1)[:, None]
+        best = total.argmax(1)
+        pred[has] = np.array(net.langs, object)[best[has]]
+        score[has] = np.clip(total[np.arange(n), best][has], 0, 1)
+    return pred, score
+
+
 def _predict(net: ByteNet | None):
     def run(batches):
         if net is not None:
             net.ready()
         for b, col in slices(batches):
-            n = b.num_rows
-            pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            has = pc.match_substring_regex(col, r"\p{L}").to_numpy(zero_copy_only=False)
-            if net is not None and has.any():
-                data, off = utf8(col)
-                x, doc, letters = windows(data, off, net.classes)
-                keep = letters > 0
-                x, doc, letters = x[keep], doc[keep], letters[keep]
-                p = net.probabilities(x) * letters[:, None]
-                total = np.stack([np.bincount(doc, p[:, c], n) for c in range(len(net.langs))], 1)
-                total /= np.maximum(np.bincount(doc, letters, n), 1)[:, None]
-                best = total.argmax(1)
-                pred[has] = np.array(net.langs, object)[best[has]]
-                score[has] = np.clip(total[np.arange(n), best][has], 0, 1)
-            out = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in out), pa.array(pred, pa.string()), pa.array(score)], [*out, "lang_pred", "score"])
+            pred, score = _judge(net, col)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def keep_spoken(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """docs without those of no language; lang becomes the prediction, the other columns stay."""
+
+    def run(batches):
+        if net is not None:
+            net.ready()
+        for b, col in slices(batches):
+            pred, _ = _judge(net, col)
+            lang = pa.array(pred, pa.string())
+            cols = [lang if f.name == "lang" else c for f, c in zip(b.schema, b.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(pred != UNKNOWN, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     return docs.select("doc_id", "text").mapInArrow(_predict(net), "doc_id long, lang_pred string, score double")

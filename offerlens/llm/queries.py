@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from offerlens.llm import preference
 from offerlens.llm.common import read
 from offerlens.llm.decontaminate import contaminated
 from offerlens.llm.langid import language_id
@@ -11,7 +13,6 @@ from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.neardup import near_duplicates
 from offerlens.llm.packing import pack
 from offerlens.llm.pieces import encode_pieces
-from offerlens.llm import preference
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
 from offerlens.llm.vptree import nearest
@@ -58,5 +59,21 @@ def op10_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {"op4_preference": op4_preference, "op2_packing": op2_packing, "op8_pieces": op8_pieces, "op3_decontaminate": op3_decontaminate, "op1_near_duplicates": op1_near_duplicates, "op10_neighbours": op10_neighbours, "op5_toxicity": op5_toxicity, "op6_language": op6_language, "op7_secrets": op7_secrets, "op9_licenses": op9_licenses}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_packing": op2_packing,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_preference": op4_preference,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
+    "op8_pieces": op8_pieces,
+    "op9_licenses": op9_licenses,
+    "op10_neighbours": op10_neighbours,
+    "pipeline": pipeline,
+}
 ORACLE_SQL: dict[str, str] = {"op4_preference": preference.ORACLE}

@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import reduce
+from operator import or_
 from statistics import NormalDist
 
 import numpy as np
@@ -52,6 +54,7 @@ ALPHABETS = {
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
+_TOKENS = "array<struct<start:int,end:int,cls:string,score:int>>"
 LENGTHS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 BINS = 400
 _BIN_WIDTH = 0.1  # of -log10 p
@@ -195,6 +198,19 @@ def thresholds(histogram: list[tuple[str, int, int]], q: float) -> dict[str, int
     return out
 
 
+def _scanned(docs: DataFrame, q: float, tail: float) -> tuple[DataFrame, dict, dict[str, int]]:
+    """(each document's spans and tested tokens, written; the null model; the least score by class)."""
+    pairs = np.zeros(65536, np.int64)
+    for r in docs.select("text").mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[r["pair"]] = r["n"]
+    null = null_model(pairs.reshape(256, 256))
+    schema = f"doc_id long, base string, n_assign long, n_access long, n_hex long, tokens {_TOKENS}"
+    scanned = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(null, tail), schema), "secrets")
+    # at most encodings x length classes x bins rows
+    histogram = scanned.select(F.explode("tokens").alias("t")).groupBy("t.cls", "t.score").count().collect()
+    return scanned, null, thresholds([tuple(r) for r in histogram], q)
+
+
 def scan_secrets(docs: DataFrame, q: float = 0.01, tail: float = 27.0) -> DataFrame:
     """One row per document: counts of the base kinds, base spans, all spans.
 
@@ -202,24 +218,44 @@ def scan_secrets(docs: DataFrame, q: float = 0.01, tail: float = 27.0) -> DataFr
     z-scores of a random string may sum to. Method spans have the kind `random`; one that lies within a base
     span is not repeated.
     """
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    pairs = np.zeros(65536, np.int64)
-    for r in texts.mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[r["pair"]] = r["n"]
-    null = null_model(pairs.reshape(256, 256))
-    schema = "doc_id long, base string, n_assign long, n_access long, n_hex long, tokens array<struct<start:int,end:int,cls:string,score:int>>"
-    scanned = saved(docs.select("doc_id", "text").mapInArrow(_scan(null, tail), schema), "secrets")
-    # at most encodings x length classes x bins rows
-    histogram = scanned.select(F.explode("tokens").alias("t")).groupBy("t.cls", "t.score").count().collect()
-    least = thresholds([tuple(r) for r in histogram], q)
-    hit = F.lit(False)
-    for c, s in sorted(least.items()):
-        hit = lambda t, a=hit, c=c, s=s: (a(t) if callable(a) else a) | ((t["cls"] == c) & (t["score"] >= s))
-    found = F.filter("tokens", hit) if callable(hit) else F.array().cast("array<struct<start:int,end:int,cls:string,score:int>>")
+    scanned, _, least = _scanned(docs, q, tail)
+    found = F.array().cast(_TOKENS)
+    if least:
+        found = F.filter("tokens", lambda t: reduce(or_, ((t["cls"] == c) & (t["score"] >= s) for c, s in sorted(least.items()))))
     return scanned.withColumn("found", found).mapInArrow(_finish, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
+def mask_secrets(docs: DataFrame, q: float = 0.01, tail: float = 27.0, mask: str = "[secret]") -> DataFrame:
+    """docs with every span that scan_secrets finds replaced in text; null texts stay null, all columns stay."""
+    _, null, least = _scanned(docs, q, tail)
+    scan = _scan(null, tail)
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), batch.column(at)], ["doc_id", "text"])
+            for out in scan(iter([rows])):
+                for r in out.select(["doc_id", "base", "tokens"]).to_pylist():
+                    spans = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in r["base"].split(",") if x]
+                    spans += [(t["start"], t["end"]) for t in r["tokens"] if t["score"] >= least.get(t["cls"], BINS + 1)]
+                    if spans:
+                        texts[r["doc_id"]] = _masked(texts[r["doc_id"]], sorted(spans), mask)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    parts, last = [], 0
+    for s, e in spans:
+        if s >= last:
+            parts += [text[last:s], mask]
+        last = max(last, e)
+    return "".join([*parts, text[last:]])
+
+
 def _finish(batches):
     for b in batches:
         rows = b.select(["base", "found"]).to_pylist()
