@@ -6,12 +6,13 @@
    need an estimate, and the weights behave alike at every size.
 2. Each text's weighted set (count x IDF) is sampled by improved consistent weighted sampling: SAMPLES
    samples, of which `rows` at a time make a band's key.
-3. Equal texts collapse to one representative. In every bucket each member is paired with one hub (the least
-   by a hash of its own for each band), so pairs grow with members and not with their square. Pairs are
-   verified by the weighted Jaccard similarity of the whole texts.
-4. Connected components of the verified links. Buckets that still hold several components have all their
-   pairs of different components verified (pairs whose samples agree too rarely to reach the threshold are
-   left out: an exact pair falls below that with a chance of about 1e-5), and components are taken anew.
+3. Equal texts collapse to one representative. In every bucket each member is paired with one hub, the most
+   central member (the one whose buckets are the fullest), so pairs grow with members and not with their
+   square. Pairs are verified by the weighted Jaccard similarity of the whole texts.
+4. Connected components of the verified links. Buckets that still hold several components have their pairs of
+   different components verified: in small buckets as pairs (those whose samples agree too rarely to reach the
+   threshold are left out: an exact pair falls below that with a chance of about 1e-5), in larger ones by blocks
+   of bounded size in which nothing is left out. Components are taken anew.
 
 Texts of fewer than five words are one shingle of all their words; texts without words, null included, are
 only grouped with equal texts (null counts as empty). Ties: a class is named by its least doc_id. Repeated
@@ -33,6 +34,7 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 CELLS = 1 << 16
 DEPTH = 2
+SMALL, BLOCK = 32, 384  # members of a small bucket; of a block of a larger one
 
 _ODD = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -187,6 +189,82 @@ def verify(docs: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> Dat
     return found.where(F.col("similarity") >= threshold)
 
 
+def across(docs: DataFrame, mixed: DataFrame, idf: Idf, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join the components within large buckets; mixed: band, key, rep, comp.
+
+    A bucket's largest component is its main one. Blocks of bounded size of the other members meet all blocks of
+    the bucket; main blocks do not meet each other, as their members are joined already. A task compares two
+    blocks in memory and gives links that span what it joins, fewer than its rows.
+    """
+    bucket = ["band", "key"]
+    size = mixed.groupBy(*bucket, "comp").count().groupBy(bucket).agg(F.max(F.struct("count", F.col("comp").alias("main"))).alias("m"), F.sum("count").alias("n"))
+    size = size.select(*bucket, "m.main", F.ceil(F.col("m.count") / block).alias("mains"), F.ceil((F.col("n") - F.col("m.count")) / block).alias("others"))
+    rows = mixed.join(size, bucket).withColumn("is_main", F.col("comp") == F.col("main"))
+    own = F.pmod(F.xxhash64(F.lit(29), "rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_main = F.transform(to(F.when(F.col("is_main"), F.col("others")).otherwise(F.col("mains"))), lambda j: F.when(F.col("is_main"), F.concat_ws("m", j, "own")).otherwise(F.concat_ws("m", "own", j)))
+    with_other = F.transform(to(F.col("others")), lambda j: F.concat_ws("o", F.least("own", j), F.greatest("own", j)))
+    tasks = F.when(F.col("is_main"), with_main).otherwise(F.concat(with_main, with_other))
+    dealt = rows.withColumn("own", own).select(*bucket, "rep", "comp", F.explode(tasks).alias("task"))
+    needed = dealt.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+
+    def link(table):
+        comp, rep = table.column("comp").to_numpy(), table.column("rep").to_numpy()
+        a, b = [], []
+        if len(rep) > 1:
+            d, key, count = weighted_sets(pa.concat_arrays([c.cast(pa.large_string()) for c in table.column("text").chunks]), WIDTH)
+            for i, j in joining(d, key, count, idf.weights(key), comp, threshold):
+                a.append(min(rep[i], rep[j]))
+                b.append(max(rep[i], rep[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(texts, "rep").groupBy(*bucket, "task").applyInArrow(link, "a long, b long")
+
+
+def joining(d: np.ndarray, key: np.ndarray, count: np.ndarray, w: np.ndarray, comp: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of rows that reach the threshold and join different components, enough to span what they join.
+
+    Overlaps come from products of 0/1 matrices over the shingles (each occurrence a column) that two rows at
+    least share, a bounded number of columns at a time.
+    """
+    n = len(comp)
+    times = count.astype(np.int64)
+    row, k, weight = np.repeat(d, times), np.repeat(key, times), np.repeat(w, times)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64))
+    total = np.bincount(row, weight, n)
+    distinct, col, df = np.unique(k, return_inverse=True, return_counts=True)
+    shared = df[col] > 1
+    place = np.cumsum(df > 1) - 1
+    row, col, weight = row[shared], place[col[shared]], weight[shared]
+    order = np.argsort(col, kind="stable")
+    row, col, weight = row[order], col[order], weight[order]
+    over = np.zeros((n, n), np.float64)
+    step = 4096
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        i, j = np.searchsorted(col, [c, c + step])
+        x = np.zeros((n, step), np.float32)
+        x[row[i:j], col[i:j] - c] = np.sqrt(weight[i:j])
+        over += x @ x.T
+    reach = over >= (threshold - 1e-6) * (total[:, None] + total[None] - over)
+    a, b = np.nonzero(np.triu(reach & (comp[:, None] != comp[None]), 1))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = root(int(comp[i])), root(int(comp[j]))
+        if p != q:
+            parent[p] = q
+            out.append((i, j))
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float = 1 / 8) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_size, one row for each doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
@@ -195,25 +273,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float = 1 /
     signed = saved(signed, "signatures")
     rep = saved(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "texts")
     rows = rep.where("sig is not null").select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = rows.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", "band").alias("h"), "rep")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("hub.rep").alias("hub"))
-    paired = rows.join(hubs, ["band", "key"])
+    bucket = ["band", "key"]
+    shared = saved(rows.join(rows.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket), "shared")
+    # the hub is the most central member: the one whose buckets are the fullest
+    central = shared.groupBy("rep").agg(F.sum("n").alias("c"))
+    hubs = shared.join(central, "rep").groupBy(bucket).agg(F.max(F.struct("c", F.xxhash64("rep", "band").alias("h"), "rep")).alias("hub")).select(*bucket, F.col("hub.rep").alias("hub"))
+    paired = shared.join(hubs, bucket)
     # links between representatives; a document of several texts (a repeated doc_id) links their classes
     pairs = paired.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     pairs = saved(pairs, "pairs")
     links = saved(verify(docs, pairs, idf, threshold), "links")
     label = saved(components(links), "labels")
     # buckets of several components
-    named = saved(paired.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("comp", "rep").alias("comp")), "buckets")
-    split = named.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
-    mixed = named.join(split, ["band", "key"]).join(rep.select("rep", "sig"), "rep")
+    named = saved(shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*bucket, "rep", "n", F.coalesce("comp", "rep").alias("comp")), "buckets")
+    split = named.groupBy(bucket).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(*bucket)
+    mixed = named.join(split, bucket)
+    few = mixed.where(F.col("n") <= SMALL).join(rep.select("rep", "sig"), "rep")
     agree = lambda x, y: F.aggregate(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), F.lit(0), lambda n, i: n + (F.substring(x, i * 4 + 1, F.lit(4)) == F.substring(y, i * 4 + 1, F.lit(4))).cast("int"))
-    one, two = (mixed.select("band", "key", F.col("rep").alias(r), F.col("comp").alias(f"comp_{r}"), F.col("sig").alias(f"sig_{r}")) for r in ("a", "b"))
+    one, two = (few.select(*bucket, F.col("rep").alias(r), F.col("comp").alias(f"comp_{r}"), F.col("sig").alias(f"sig_{r}")) for r in ("a", "b"))
     least = int(SAMPLES * (threshold - 4.4 * (threshold * (1 - threshold) / SAMPLES) ** 0.5))
-    rest = one.join(two, ["band", "key"]).where((F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b")) & (agree(F.col("sig_a"), F.col("sig_b")) >= least))
+    rest = one.join(two, bucket).where((F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b")) & (agree(F.col("sig_a"), F.col("sig_b")) >= least))
     rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = saved(verify(docs, saved(rest, "pairs"), idf, threshold), "links")
+    more = verify(docs, saved(rest, "pairs"), idf, threshold).select("a", "b").unionByName(across(docs, mixed.where(F.col("n") > SMALL), idf, threshold))
+    more = saved(more, "links")
     if not more.isEmpty():
-        label = saved(components(links.select("a", "b").unionByName(more.select("a", "b"))), "labels")
+        label = saved(components(links.select("a", "b").unionByName(more)), "labels")
     out = signed.select("doc_id", "digest").distinct().join(rep.select("digest", "rep"), "digest").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
