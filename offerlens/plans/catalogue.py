@@ -1,4 +1,9 @@
 """Queries and their DuckDB equivalents, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from offerlens.plans import discovery, offers, pages, registry
+
+_modules = (offers, pages, registry, discovery)
+QUERIES: dict = {k: v for m in _modules for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _modules for k, v in m.ORACLE_SQL.items()}

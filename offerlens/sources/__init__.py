@@ -1 +1 @@
-
+"""Tables that the queries start from."""
