@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlens.functions.price import js_round
+from offerlens.functions.price import js_round, to_fixed
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -142,12 +142,12 @@ def csv_lines(registry: DataFrame) -> DataFrame:
     """The export's lines: only the label is quoted, density has three decimals, null is empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     label = F.concat(F.lit('"'), F.replace(text("label"), F.lit('"'), F.lit('""')), F.lit('"'))
-    return registry.select("id", F.concat_ws(",", text("url"), text("domain"), label, text("status"), F.coalesce(F.format_string("%.3f", F.col("dealDensity")), F.lit("")), text("lastVerifiedAt")).alias("line"))
+    return registry.select("id", F.concat_ws(",", text("url"), text("domain"), label, text("status"), F.coalesce(to_fixed(F.col("dealDensity")), F.lit("")), text("lastVerifiedAt")).alias("line"))
 
 
 def runs_in_last_hour(runs: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     """How many runs the hour before each one had, itself included."""
-    sec = F.unix_micros(ts)
+    sec = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(by).orderBy(sec).rangeBetween(-3_600_000_000, 0)
     return runs.withColumn("runs", F.count("*").over(w))
 

@@ -1 +1 @@
-
+"""Structured Streaming forms of the registry's refresh."""
