@@ -39,7 +39,9 @@ def merge(offers: DataFrame, by: list[str], cap: int = 200, page_url: str | None
     first = F.col("rows")[0]
     pick = lambda cond: F.get(F.filter("rows", cond), F.lit(0))
     image = pick(lambda r: F.coalesce(r["imageUrl"], F.lit("")) != "")["imageUrl"]
-    link = pick(lambda r: (r["ord"] > first["ord"]) & (F.coalesce(r["productUrl"], F.lit("")) != "") & ~is_page(r["productUrl"], r["batch_"]) & is_page(first["productUrl"], r["batch_"]))["productUrl"]
+    better = lambda link, r: is_page(link, r["batch_"]) & (F.coalesce(r["productUrl"], F.lit("")) != "") & ~is_page(r["productUrl"], r["batch_"])
+    # an upgraded link may turn out to be a page of a later batch, so this is a fold over the key's rows
+    link = F.aggregate("rows", first["productUrl"], lambda link, r: F.when(better(link, r), r["productUrl"]).otherwise(link))
     filled = pick(lambda r: r["originalPrice"] > F.col("dealPrice"))
     own = first["originalPrice"].isNotNull()
     out = got.select(
@@ -51,7 +53,7 @@ def merge(offers: DataFrame, by: list[str], cap: int = 200, page_url: str | None
         F.when(own | first["discountPercentage"].isNotNull(), first["discountPercentage"]).otherwise(filled["discountPercentage"]).alias("discountPercentage"),
         first["currency"].alias("currency"),
         first["sourceSite"].alias("sourceSite"),
-        F.coalesce(link, first["productUrl"]).alias("productUrl"),
+        link.alias("productUrl"),
         F.coalesce(image, first["imageUrl"]).alias("imageUrl"),
     )
     nth = F.row_number().over(Window.partitionBy(by).orderBy("ord"))

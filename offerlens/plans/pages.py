@@ -233,7 +233,7 @@ def next_pages(spark, sf_dir):
     """C34."""
     from pyspark.sql.types import StringType
 
-    follow = F.udf(next_page, StringType())
+    follow = F.udf(next_page, StringType(), useArrow=True)
     return spark.createDataFrame(_NEXT, "id long, url string, html string").select("id", follow("html", "url").alias("next"))
 
 
@@ -252,5 +252,5 @@ SHOP_PAGES = [
     (-3, "https://og.test/p/1", '<meta property="og:title" content="Wool blanket"><meta property="product:price:amount" content="2200"><meta property="og:image" content="/b.png">'),
     (-4, "https://js.test/", '<script>window.__INITIAL_STATE__ = {"list":[{"title":"Alpha phone","price":1500,"mrp":2000,"slug":"/a"},{"title":"Beta phone","price":"৳2500"}]};</script>'),
     (-5, "https://dom.test/", '<ul><li class="product-item"><a href="/1"><img src="/1.png"></a><h3>Mini fan 20mm</h3><span class="price">৳450</span> <del>৳900</del><span class="badge">-50%</span><p class="sold">176 Sold</p></li><li class="product-item"><h3>Rice sack 5kg</h3><span class="price">Tk 320</span></li></ul>'),
-    (-6, "https://flat.test/", '<body><div><div><a href="/1"><img src="/i.png"><p>Nice kettle 2L steel</p><span>৳1,200</span><span>৳1,500</span></a></div><div><a href="/2"><p>Another pot of iron</p><span>৳2,200</span></a></div></div></body>'),
+    (-6, "https://flat.test/", "<body><div>" + "".join(f'<div><a href="/{i}"><img src="/i.png"><p>{t}</p><span>৳{p}</span><span>৳{p + 300}</span></a></div>' for i, (t, p) in enumerate((("Nice kettle 2L steel", 1200), ("Another pot of iron", 2200), ("A lamp for the desk", 700), ("Woven basket large", 450)))) + "</div></body>"),
 ]
