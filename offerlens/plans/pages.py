@@ -254,3 +254,30 @@ SHOP_PAGES = [
     (-5, "https://dom.test/", '<ul><li class="product-item"><a href="/1"><img src="/1.png"></a><h3>Mini fan 20mm</h3><span class="price">৳450</span> <del>৳900</del><span class="badge">-50%</span><p class="sold">176 Sold</p></li><li class="product-item"><h3>Rice sack 5kg</h3><span class="price">Tk 320</span></li></ul>'),
     (-6, "https://flat.test/", "<body><div>" + "".join(f'<div><a href="/{i}"><img src="/i.png"><p>{t}</p><span>৳{p}</span><span>৳{p + 300}</span></a></div>' for i, (t, p) in enumerate((("Nice kettle 2L steel", 1200), ("Another pot of iron", 2200), ("A lamp for the desk", 700), ("Woven basket large", 450)))) + "</div></body>"),
 ]
+
+
+_IMPORTS = [
+    (1, '{"url":"https://a.test/d","status":"active","dealDensity":0.5,"evidence":["x",null,"y"],"seasonHint":[0,11,13]}'),
+    (2, '{"url":"https://b.test/d","status":"odd"}'),
+    (3, '{"status":"active"}'),
+    (4, "not json"),
+    (5, '{"url":""}'),
+]
+
+
+@query("SELECT * FROM (VALUES (1, substr(sha1('https://a.test/d'), 1, 16), 'active', CAST(0.5 AS DOUBLE), 'x,y', '11'), (2, substr(sha1('https://b.test/d'), 1, 16), 'candidate', 0, '', '')) v(ord, id, status, dealDensity, evidence, season)")
+def import_sanitizer(spark, sf_dir):
+    """A20 over made records."""
+    from offerlens.sources.stores import sanitize
+
+    s = sanitize(spark.createDataFrame(_IMPORTS, "ord int, body string"))
+    return s.select("ord", "id", "status", "dealDensity", F.array_join("evidence", ",").alias("evidence"), F.array_join("seasonHint", ",").alias("season"))
+
+
+@query()
+def scrape_reports(spark, sf_dir):
+    """The request over all pages and the made shop pages: reports with rungs, quality and status."""
+    from offerlens.api import scrape
+
+    p = _pages(spark, sf_dir).select("url", "html").unionByName(spark.createDataFrame(SHOP_PAGES, "page_id long, url string, html string").drop("page_id"))
+    return scrape(p)["reports"]
