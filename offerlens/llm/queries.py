@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from offerlens.llm import preference
+from offerlens.llm import preference, vptree
 from offerlens.llm.common import read
 from offerlens.llm.decontaminate import contaminated
 from offerlens.llm.langid import language_id
@@ -15,7 +15,6 @@ from offerlens.llm.packing import pack
 from offerlens.llm.pieces import encode_pieces
 from offerlens.llm.secrets import scan_secrets
 from offerlens.llm.toxicity import toxicity
-from offerlens.llm.vptree import nearest
 
 
 def op1_near_duplicates(spark, sf_dir):
@@ -56,7 +55,7 @@ def op9_licenses(spark, sf_dir):
 
 
 def op10_neighbours(spark, sf_dir):
-    return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 def pipeline(spark, sf_dir):
@@ -76,4 +75,4 @@ QUERIES = {
     "op10_neighbours": op10_neighbours,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op4_preference": preference.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_preference": preference.ORACLE, "op10_neighbours": vptree.ORACLE}

@@ -114,7 +114,8 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
         q = np.concatenate([kept[0], *(p[0] for p in parts)])
         r = np.concatenate([kept[1], *(p[1] for p in parts)])
         new = len(kept[0])
-        score = np.concatenate([kept[2], *(np.einsum("ij,ij->i", queries[q[i : i + 65536]], x[r[i : i + 65536]]) for i in range(new, len(q), 65536))])
+        # products summed from the first component on, so that a score does not depend on how the sum is split
+        score = np.concatenate([kept[2], *(np.cumsum(queries[q[i : i + 16384]] * x[r[i : i + 16384]], axis=1)[:, -1] for i in range(new, len(q), 16384))])
         parts.clear()
         order = np.lexsort((ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
@@ -191,3 +192,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     found = joined.select("shard", "b_ids", "b_x", "ids", "x").mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+ORACLE = """
+WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+d AS (SELECT len(e) AS dim FROM v GROUP BY len(e) ORDER BY count(*) DESC, len(e) LIMIT 1),
+w AS (SELECT vec_id, e FROM v JOIN d ON len(e) = dim),
+s AS (SELECT q.vec_id AS query_id, w.vec_id, list_reduce([q.e[i] * w.e[i] FOR i IN range(1, len(w.e) + 1)], lambda a, b: a + b) AS score FROM w q JOIN w ON q.vec_id % 20 = 0 AND q.vec_id <> w.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
+"""

@@ -217,8 +217,9 @@ def test_contaminated_documents(spark):
 # 4 preference
 
 
-def test_preference_sql(spark):
-    assert check(spark, SF, Q.QUERIES["op4_preference"], Q.ORACLE_SQL["op4_preference"]) > 0
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert check(spark, SF, Q.QUERIES[name], Q.ORACLE_SQL[name]) > 0
 
 
 def test_common_prefix_masks_and_odd_turns(spark):
