@@ -17,6 +17,15 @@ MARKER = r"(?i)[৳$€£₹₨]|(?<![A-Za-z0-9_])(?:Tk|BDT|Rs|INR|RM|Rp|AED|SAR
 BARE = r"^[\d,.\s]+$"
 PRICE_TEXT = r"(?i)(?:৳|Tk\.?|BDT|Rs\.?|INR|RM|AED|\$|€|£|₹|₨)\s*[\d,]{2,}"
 PRICE_HINT = r"(?i)(?:৳|&#2547;|&#x09f3;|Tk\.?|BDT|\$|€|£|₹)\s*[\d,]{2,}|[\d,]{2,}\s*(?:৳|Tk\.?|BDT)"
+STRUCT_PRICE = r"(?i)(?:৳|Tk\.?|BDT|Rs\.?|INR|RM|Rp|AED|SAR|USD|EUR|GBP|\$|€|£|₹|₨)\s*[\d,]{2,}"
+MONEY_TEXT = r"(?i)[৳$€£₹₨₦﷼]\s*[\d,]{2,}|(?:Tk|BDT|Rs|INR|RM|Rp|AED|SAR|USD|EUR|GBP|kr)\.?\s*[\d,]{2,}"
+FLAG_LABELS = {
+    "mostly-fallback-links": "many missing product links",
+    "all-prices-identical": "prices look templated",
+    "extreme-variance": "suspicious price spread",
+    "low-coverage": "page claims more products than captured",
+    "empty": "nothing extracted",
+}
 BADGE = r"(?i)(\d{1,2})\s*%\s*(off|discount|ছাড়)?"
 CLAIMS = [
     r"(?i)(?:of|out of|from)\s+(\d[\d,]*)\s+(?:products?|items?|results?)",
@@ -105,7 +114,7 @@ def amounts_from_price_text(s: Column | str) -> Column:
 
 def is_price_leaf(s: Column | str) -> Column:
     """A short text that looks like a price."""
-    return F.length(_c(s)).between(3, 60) & _c(s).rlike(PRICE_TEXT)
+    return F.length(_c(s)).between(3, 60) & _c(s).rlike(STRUCT_PRICE)
 
 
 def effective_discount(pct: Column | str, original: Column | str, deal: Column | str) -> Column:
@@ -161,8 +170,29 @@ def confidence(score: Column | str) -> Column:
     return F.when(_c(score) >= 0.7, "high").when(_c(score) >= 0.35, "medium").otherwise("low")
 
 
+def confidence_text(score: Column | str, count: Column | str, flags: Column | str) -> Column:
+    """The level in words, with what speaks for or against it."""
+    labels = F.create_map(*(F.lit(x) for kv in FLAG_LABELS.items() for x in kv))
+    why = F.concat(F.when(_c(count).isNotNull(), F.array(F.concat(_c(count).cast("string"), F.lit(" products")))).otherwise(F.array().cast("array<string>")), F.transform(F.coalesce(_c(flags), F.array().cast("array<string>")), lambda f: F.coalesce(F.try_element_at(labels, f), f)))
+    text = F.array_join(why, ", ")
+    return F.concat(F.when(text == "", "").otherwise(F.concat(text, F.lit(" — "))), confidence(score), F.lit(" confidence ("), js_round(_c(score) * 100).cast("string"), F.lit("%)"))
+
+
 def relative_time(ms: Column, now: Column) -> Column:
-    """How long ago, in words."""
-    minutes = (now - ms) / 60000.0
-    n = lambda x: js_round(x).cast("string")
-    return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(n(minutes), F.lit("m ago"))).when(minutes < 1440, F.concat(n(minutes / 60), F.lit("h ago"))).otherwise(F.concat(n(minutes / 1440), F.lit("d ago")))
+    """When, in words, before or after now."""
+    diff = ms - now
+    size = F.abs(diff)
+
+    def words(unit_ms: int, unit: str) -> Column:
+        n = js_round(diff / float(unit_ms)).cast("long")
+        unit_text = F.concat(F.abs(n).cast("string"), F.lit(f" {unit}"), F.when(F.abs(n) == 1, "").otherwise("s"))
+        return F.when(n > 0, F.concat(F.lit("in "), unit_text)).otherwise(F.concat(unit_text, F.lit(" ago")))
+
+    days = js_round(diff / 86_400_000.0)
+    day = F.when(days == -1, "yesterday").when(days == 1, "tomorrow").otherwise(words(86_400_000, "day"))
+    return F.when(ms.isNull(), "—").when(size < 60_000, "just now").when(size < 3_600_000, words(60_000, "minute")).when(size < 86_400_000, words(3_600_000, "hour")).otherwise(day)
+
+
+def waking(ms: Column) -> Column:
+    """The month in which a parked page wakes."""
+    return F.concat(F.lit("waking "), F.date_format(F.timestamp_millis(ms), "MMM yyyy"))

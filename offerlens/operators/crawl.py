@@ -75,3 +75,19 @@ def probes(homes: DataFrame, known: DataFrame) -> DataFrame:
     paths = homes.select("site", F.explode(G.probe_paths(F.coalesce("platform", F.lit("unknown")))).alias("p"), "origin")
     urls = paths.select("site", U.canonicalize(F.concat("origin", "p")).alias("url")).where("url is not null").distinct()
     return urls.join(known.select("site", "url"), ["site", "url"], "left_anti")
+
+
+def host_schedule(requests: DataFrame, gap_ms: int = 1000) -> DataFrame:
+    """When each request (host, ord, arrival) starts if a host's starts keep a gap.
+
+    start(i) = max(arrival(i), start(i - 1) + gap), which is i * gap + the running maximum of arrival(j) - j * gap.
+    """
+    w = Window.partitionBy("host").orderBy("arrival", "ord")
+    n = F.row_number().over(w)
+    lead = F.max(F.col("arrival") - F.col("n_") * gap_ms).over(w)
+    return requests.withColumn("n_", n).withColumn("start", lead + F.col("n_") * gap_ms).drop("n_")
+
+
+def frames_if_empty(pages: DataFrame, frames: DataFrame, offers: DataFrame) -> DataFrame:
+    """Child frames (url, frame_url, html) only of pages that gave no offer."""
+    return frames.join(pages.select("url"), "url", "left_semi").join(offers.select("url").distinct(), "url", "left_anti")
