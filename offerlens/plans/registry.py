@@ -148,7 +148,7 @@ def failure_bursts(spark, sf_dir):
     return R.failure_runs(checks(spark, sf_dir), ["record_id"], ["ts", "event_id"], F.col("kind") == "blocked")
 
 
-@query("""SELECT user_id, max(runs) AS most, sum(runs) AS total FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS runs FROM events) GROUP BY user_id""")
+@query("""SELECT user_id, max(runs) AS most, CAST(sum(runs) AS BIGINT) AS total FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS runs FROM events) GROUP BY user_id""")
 def browser_hour_window(spark, sf_dir):
     """G7, by user."""
     r = R.runs_in_last_hour(table(spark, sf_dir, "events"), ["user_id"])
