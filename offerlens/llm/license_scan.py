@@ -150,3 +150,34 @@ def match_templates(files: DataFrame, rarest: int, least_votes: int) -> DataFram
         .groupBy("doc_id")
         .agg(F.collect_set("label").alias("method_set"), F.max("share").alias("share"))
     )
+
+
+def oracle(rarest: int = 12, least_votes: int = 2) -> str:
+    """DuckDB SQL of scan_licenses over documents."""
+    postings = ", ".join(f"({t}, '{label}', '{w}', {p})" for t, (label, words, _) in enumerate(TEMPLATES) for p, w in enumerate(words.split()))
+    keys = []
+    for t, (_, words, phrases) in enumerate(TEMPLATES):
+        own = words.split()
+        for k in (p.split() for p in phrases):
+            at = next(i for i in range(len(own)) if own[i : i + len(k)] == k)
+            keys += [f"({t}, '{w}', {at + j})" for j, w in enumerate(k)]
+    phrases = ", ".join(f"({i}, '{label}', '{w}', {j}, {len(p.split())})" for i, (p, label) in enumerate(PHRASES.items()) for j, w in enumerate(p.split()))
+    signs = " OR ".join(f"contains(lower(text), '{s}')" for s in SIGNS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({signs}, false) AS may, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tok AS (SELECT doc_id, may, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+ph(p, label, word, j, n) AS (VALUES {phrases}),
+base AS (SELECT doc_id, p, label, pos - j AS start FROM tok JOIN ph USING (word) GROUP BY doc_id, p, label, n, pos - j HAVING count(*) = n),
+b AS (SELECT doc_id, count(*) AS n, min(start) AS f, max(start) AS l, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
+post(t, label, word, tpos) AS (VALUES {postings}), kw(t, word, off) AS (VALUES {", ".join(keys)}),
+hit AS (SELECT doc_id, word, pos FROM tok WHERE may AND word IN (SELECT word FROM post)),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM hit GROUP BY word),
+rare AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY df, word) AS k FROM (SELECT DISTINCT doc_id, word FROM hit) JOIN df USING (word)) WHERE k <= {rarest}),
+votes AS (SELECT doc_id, t, label, pos - tpos AS shift, count(DISTINCT hit.word) AS v FROM hit JOIN rare USING (doc_id, word) JOIN post ON post.word = hit.word GROUP BY doc_id, t, label, pos - tpos HAVING count(DISTINCT hit.word) >= {least_votes}),
+size AS (SELECT t, count(DISTINCT word) AS n FROM post GROUP BY t), kn AS (SELECT t, count(*) AS n FROM kw GROUP BY t),
+ok AS (SELECT v.doc_id, v.t, v.label, v.shift, v.v FROM votes v JOIN kw ON kw.t = v.t JOIN tok ON tok.doc_id = v.doc_id AND tok.pos = v.shift + kw.off AND tok.word = kw.word JOIN kn ON kn.t = v.t GROUP BY v.doc_id, v.t, v.label, v.shift, v.v, kn.n HAVING count(*) = kn.n),
+m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(least(CAST(1 AS DOUBLE), CAST(v AS DOUBLE) / least({rarest}, size.n))) AS share FROM ok JOIN size USING (t) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n, 0) AS n_base, b.f AS first_word, b.l AS last_word, coalesce(list_aggregate(b.labels, 'string_agg', ','), '') AS base_labels,
+  coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), 'string_agg', ','), '') AS labels, CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(m.share, 0) END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

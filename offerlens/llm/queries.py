@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from offerlens.llm import preference, vptree
+from offerlens.llm import license_scan, preference, vptree
 from offerlens.llm.common import read
 from offerlens.llm.decontaminate import contaminated
 from offerlens.llm.langid import language_id
-from offerlens.llm.license_scan import scan_licenses
 from offerlens.llm.neardup import near_duplicates
 from offerlens.llm.packing import pack
 from offerlens.llm.pieces import encode_pieces
@@ -51,7 +50,7 @@ def op8_pieces(spark, sf_dir):
 
 
 def op9_licenses(spark, sf_dir):
-    return scan_licenses(read(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op10_neighbours(spark, sf_dir):
@@ -75,4 +74,4 @@ QUERIES = {
     "op10_neighbours": op10_neighbours,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op4_preference": preference.ORACLE, "op10_neighbours": vptree.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_preference": preference.ORACLE, "op9_licenses": license_scan.oracle(), "op10_neighbours": vptree.ORACLE}
