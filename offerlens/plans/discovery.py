@@ -77,7 +77,7 @@ def discovery_selection(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("site", U.host("url"))
     links = harvest(pages, ["site"])
     scored = D.intake(links.withColumn("root", F.concat(F.lit("https://"), "site", F.lit("/"))), F.col("root"), 11, exclude=["/was"], include=["/the"])
-    cands = D.best_candidates(scored)
+    cands = D.best_candidates(scored).persist()  # used by probes, checks, hubs and the walk
     homes = pages.groupBy("site").agg(F.min(F.regexp_extract("url", "^(https?://[^/?#]+)", 1)).alias("origin"), F.max(G.platform("html")).alias("platform"))
     probed = crawl.probes(homes, cands).withColumn("ord", F.lit(10_000)).withColumn("source", F.lit("probe")).withColumn("prior", F.lit(0.5))
     cands = cands.unionByName(probed.select(*cands.columns))
