@@ -297,8 +297,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, floor: float = 1 /
     more = verify(docs, saved(rest, "pairs"), idf, threshold).select("a", "b").unionByName(across(docs, mixed.where(F.col("n") > SMALL), idf, threshold))
     more = saved(more, "links")
     if not more.isEmpty():
-        label = saved(components(links.select("a", "b").unionByName(more)), "labels")
-    out = signed.select("doc_id", "digest").distinct().join(rep.select("digest", "rep"), "digest").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+        joined = label.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        label = saved(components(joined.unionByName(more)), "labels")
+    out = signed.select("doc_id", "digest").join(rep.select("digest", "rep"), "digest").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
