@@ -80,7 +80,7 @@ def discovery_selection(spark, sf_dir):
     cands = D.best_candidates(scored).persist()  # used by probes, checks, hubs and the walk
     homes = pages.groupBy("site").agg(F.min(F.regexp_extract("url", "^(https?://[^/?#]+)", 1)).alias("origin"), F.max(G.platform("html")).alias("platform"))
     probed = crawl.probes(homes, cands).withColumn("ord", F.lit(10_000)).withColumn("source", F.lit("probe")).withColumn("prior", F.lit(0.5))
-    cands = cands.unionByName(probed.select(*cands.columns))
+    cands = cands.unionByName(probed.select(*cands.columns)).persist()  # platforms are told once
     h = F.pmod(F.xxhash64("url"), F.lit(100))
     checks = cands.select("site", "url", (h % 50).alias("productCount"), (h / 100.0).alias("density"), (F.pmod(h * 7, F.lit(100)) / 100.0).alias("quality"), (h % 9 == 0).alias("countdown"), F.when(h % 23 == 0, "blocked:captcha").alias("reason"))
     hubs = cands.alias("a").join(cands.alias("b"), "site").where("a.url <> b.url AND b.ord BETWEEN a.ord + 1 AND a.ord + 12").select("site", F.col("a.url").alias("hub"), F.col("b.url").alias("url"), F.col("b.ord").alias("ord"), F.lit(0.7).alias("prior"))
