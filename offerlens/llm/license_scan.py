@@ -1,10 +1,11 @@
 """Licence scan over a positional index of rare licence words, in DataFrame functions only.
 
 Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. The fixed phrases
-are counted at every place where their words stand consecutively. Beyond them, each file's licence words of
-the highest IDF (over all files) are looked up in the templates' postings; postings that agree on the
-relative position (file position less template position) vote for a template at an offset, and a template is
-reported only if its mandatory key phrases stand where that offset puts them.
+are counted at every place where their words stand consecutively. Beyond them, all of a file's licence words
+are looked up in the templates' postings; postings that agree on the relative position (file position less
+template position) vote for a template at an offset, and a template is reported if its mandatory key phrases
+stand where that offset puts them, whatever else the file holds. The score counts the votes of the file's
+licence words of the highest IDF (over all files).
 
 Null or empty text: no words, no labels, score 0. doc_id is the key of a file. Extra columns are
 ignored.
@@ -69,9 +70,10 @@ def _places(words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, rarest: int = 12, least_votes: int = 2) -> DataFrame:
     """One row per document: word count, places of the base phrases, labels and a score in 0..1.
 
-    rarest: so many licence words, of the highest IDF, are looked up for a file. least_votes: so many
-    different words must agree on an offset. The score is the greatest share of a template's looked-up words
-    that agree, or 1 where a base phrase stands.
+    least_votes: so many different words must agree on an offset. rarest: so many of a file's licence words,
+    those of the highest IDF, count for its score, never for its labels. The score is the greatest share of a
+    template's words that agree among these (among all, where fewer than least_votes of these agree on any of
+    the file's labels), or 1 where a base phrase stands.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
@@ -120,15 +122,18 @@ def match_templates(files: DataFrame, rarest: int, least_votes: int) -> DataFram
     used = used.withColumn("one", F.lit(1)).join(F.broadcast(table.withColumn("one", F.lit(1))), "one").drop("one")
     rare = F.slice(F.array_sort(F.transform(ranked, lambda w: F.struct(F.try_element_at("table", w).alias("df"), w.alias("word")))), 1, rarest)
     used = used.select("doc_id", "words", F.col("hits"), F.transform(rare, lambda x: x["word"]).alias("rare"))
-    looked = used.select("doc_id", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["word"]))).alias("h")).select("doc_id", "h.word", F.col("h.pos").alias("pos"))
+    looked = used.select("doc_id", "rare", F.explode("hits").alias("h")).select("doc_id", "h.word", F.col("h.pos").alias("pos"), F.array_contains("rare", F.col("h.word")).alias("scores"))
     votes = (
         looked.join(F.broadcast(postings), "word")
         .groupBy("doc_id", "template", "label", (F.col("pos") - F.col("tpos")).alias("shift"))
-        .agg(F.countDistinct("word").alias("votes"))
+        .agg(F.size(F.collect_set("word")).alias("votes"), F.size(F.collect_set(F.when(F.col("scores"), F.col("word")))).alias("rare_votes"))
         .where(F.col("votes") >= least_votes)
     )
     sizes = spark.createDataFrame([(t, len(set(w.split()))) for t, (_, w, _) in enumerate(TEMPLATES)], "template int, distinct_words int")
-    votes = votes.join(F.broadcast(sizes), "template").withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.least(F.lit(rarest), F.col("distinct_words"))))
+    full = F.least(F.lit(rarest), F.col("distinct_words"))
+    share = F.least(F.lit(1.0), F.col("votes") / full)
+    rare_share = F.when(F.col("rare_votes") >= least_votes, F.least(F.lit(1.0), F.col("rare_votes") / full))
+    votes = votes.join(F.broadcast(sizes), "template").withColumn("share", share).withColumn("rare_share", rare_share)
     # verification: the key phrases at the places that the offset gives
     ok = F.lit(False)
     for t, (_, words, keys) in enumerate(TEMPLATES):
@@ -141,14 +146,14 @@ def match_templates(files: DataFrame, rarest: int, least_votes: int) -> DataFram
                 place = F.col("shift") + (at + j)
                 each = each & (place >= 0) & F.coalesce(F.get("words", place) == w, F.lit(False))
         ok = ok | each
-    shifts = votes.groupBy("doc_id").agg(F.collect_set(F.struct("template", "label", "shift", "share")).alias("votes"))
+    shifts = votes.groupBy("doc_id").agg(F.collect_set(F.struct("template", "label", "shift", "share", "rare_share")).alias("votes"))
     return (
         files.join(shifts, "doc_id")
         .select("doc_id", "words", F.explode("votes").alias("v"))
         .select("doc_id", "words", "v.*")
         .where(ok)
         .groupBy("doc_id")
-        .agg(F.collect_set("label").alias("method_set"), F.max("share").alias("share"))
+        .agg(F.collect_set("label").alias("method_set"), F.coalesce(F.max("rare_share"), F.max("share")).alias("share"))
     )
 
 
