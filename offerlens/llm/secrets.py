@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus a randomness test battery with length-aware false-discovery control.
 
 Pass 1 counts byte pairs over every text: the order-1 model of ordinary text. Pass 2 finds, in every whole
-text, the fixed patterns' spans and the long tokens; each token's encoding is inferred and its characters
+text, the fixed patterns' spans and the long tokens; a token is also cut at its inner `=` and at `/`, `+`, `-`
+and `_`, and every part that is long enough is tested: its encoding is inferred and its characters
 are tested for uniformity (chi-squared over the alphabet), runs about the middle of the alphabet and lag-1
 serial correlation. The departure from randomness is compared with what ordinary text of the same encoding
 and length class would show; Benjamini-Hochberg per (encoding, length class), over the histogram of all
@@ -38,6 +39,9 @@ _assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _access = re.compile(ACCESS)
 _hex = re.compile(r"[0-9a-f]{32,}")
 _token = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_value = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Whole values, and their parts where one alphabet's separators, or all, are cut out.
+_cuts = [re.compile(x) for x in (r"[A-Za-z0-9+/_-]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9_-]+", r"[A-Za-z0-9]+")]
 _has_assign = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 _has_token = r"[A-Za-z0-9+/_=-]{20}"
 
@@ -48,8 +52,11 @@ _LOWER = _UPPER.lower()
 ALPHABETS = {
     "hex": _DIGITS + "abcdef",
     "hexup": _DIGITS + "ABCDEF",
+    "upper": _UPPER,
+    "lower": _LOWER,
     "base32": _UPPER + "234567",
     "lower36": _DIGITS + _LOWER,
+    "alpha": _UPPER + _LOWER,
     "base62": _DIGITS + _UPPER + _LOWER,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
@@ -70,11 +77,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def encoding_of(token: str) -> str | None:
     body = set(token.rstrip("="))
-    if not any(c.isdigit() for c in body) or body <= set(_DIGITS):
-        return None  # ordinary words, and plain numbers
+    if body <= set(_DIGITS):
+        return None  # plain numbers
+    if token[0] in _UPPER and token[1:] and set(token[1:]) <= set(_LOWER):
+        return "lower"  # a capitalised word, tested in lower case
     return next((k for k, a in ALPHABETS.items() if body <= set(a)), None)
 
 
+def parts_of(token: str, start: int) -> list[tuple[int, int, str]]:
+    """(start, end, encoding) of the token's parts to test: between its inner `=`, and within these between separators."""
+    out = {}
+    for m in _value.finditer(token):
+        for cut in _cuts:
+            for x in cut.finditer(m[0]):
+                at, end = start + m.start() + x.start(), start + m.start() + x.end()
+                if not token[m.start() + x.end() :].strip("="):
+                    end = start + len(token)  # with its padding
+                kind = encoding_of(x[0])
+                if kind and len(x[0]) >= LENGTHS[0]:
+                    out[at, end] = kind
+    return [(s, e, k) for (s, e), k in out.items()]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def departure(codes: np.ndarray, m: int) -> float:
     """Log of the summed squared z-scores of the three tests; low for a random string over m letters."""
     n = len(codes)
@@ -165,19 +200,18 @@ def _scan(null: dict, least_p: float):
                 for _, k, _ in found:
                     counts[k, i] += 1
                 for m in _token.finditer(text):
-                    kind = encoding_of(m[0])
-                    if not kind or any(s <= m.start() and m.end() <= e for s, _, e in found):
-                        continue
-                    body = m[0].rstrip("=")
-                    if len(body) < LENGTHS[0]:
-                        continue
-                    c = length_class(len(body))
-                    d = departure(np.fromiter(map(codes[kind].__getitem__, body), np.int64, len(body)), len(codes[kind]))
-                    mean, dev = null[kind, c]
-                    p = max(normal.cdf((d - mean) / dev), 10.0 ** (-BINS * _BIN_WIDTH + 1))
-                    # itself not to be told from a random string: the three squared z-scores stay below their joint tail
-                    score = int(-math.log10(p) / _BIN_WIDTH) if math.exp(d) < least_p else 0
-                    tokens[i].append({"start": m.start(), "end": m.end(), "cls": f"{kind}:{c}", "score": score})
+                    for start, end, kind in parts_of(m[0], m.start()):
+                        if any(s <= start and end <= e for s, _, e in found):
+                            continue
+                        body = text[start:end].rstrip("=")
+                        body = body.lower() if kind == "lower" else body
+                        c = length_class(len(body))
+                        d = departure(np.fromiter(map(codes[kind].__getitem__, body), np.int64, len(body)), len(codes[kind]))
+                        mean, dev = null[kind, c]
+                        p = max(normal.cdf((d - mean) / dev), 10.0 ** (-BINS * _BIN_WIDTH + 1))
+                        # itself not to be told from a random string: the three squared z-scores stay below their joint tail
+                        score = int(-math.log10(p) / _BIN_WIDTH) if math.exp(d) < least_p else 0
+                        tokens[i].append({"start": start, "end": end, "cls": f"{kind}:{c}", "score": score})
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(base), *map(pa.array, counts), pa.array(tokens, _SCANNED.field("tokens").type)], schema=_SCANNED)
 
     return run
@@ -241,7 +275,7 @@ def mask_secrets(docs: DataFrame, q: float = 0.01, tail: float = 27.0, mask: str
                     spans = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in r["base"].split(",") if x]
                     spans += [(t["start"], t["end"]) for t in r["tokens"] if t["score"] >= least.get(t["cls"], BINS + 1)]
                     if spans:
-                        texts[r["doc_id"]] = _masked(texts[r["doc_id"]], sorted(spans), mask)
+                        texts[r["doc_id"]] = _masked(texts[r["doc_id"]], merged(spans), mask)
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, schema)
@@ -262,7 +296,7 @@ def _finish(batches):
         spans, digest, more = [], [], []
         for r in rows:
             own = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in r["base"].split(",") if x)]
-            new = [(t["start"], "random", t["end"]) for t in r["found"] or []]
+            new = [(s, "random", e) for s, e in merged([(t["start"], t["end"]) for t in r["found"] or []])]
             order = [*KINDS, "random"]
             spans.append(",".join(f"{k}:{s}:{e}" for s, k, e in sorted(own + new, key=lambda x: (x[0], order.index(x[1])))))
             digest.append(hashlib.sha256(r["base"].encode()).hexdigest())

@@ -1,6 +1,10 @@
 """Operators on inputs whose finds a cap, a stride or an excluded class would lose."""
 
+import random
+import string
+
 from offerlens.llm import license_scan as LS
+from offerlens.llm import secrets as SE
 
 
 def docs(spark, rows):
@@ -16,3 +20,19 @@ def test_every_notice_of_a_long_file_is_labelled(spark):
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in LS.scan_licenses(docs(spark, rows)).collect()}
     assert got[1] == {"mit", "apache-2.0"}
     assert got[2] >= {label for label, _, _ in LS.TEMPLATES}
+
+
+def test_glued_and_letter_only_secrets_are_found(spark):
+    rnd = random.Random(5)
+    key = lambda letters, n=40: "".join(rnd.choice(letters) for _ in range(n))
+    base62, alpha = string.ascii_letters + string.digits, string.ascii_letters
+    shapes = ["AUTH_HASH={}", "https://x.test/cb?sig={}", "s3 my-bucket/files/{}", "key_{}/part-1", "{}"]
+    plain = "the quick brown fox reads some_ordinary_identifier_names and /usr/local/share-data/words-of-a-path every day"
+    rows = [(i, f"{plain} {shapes[i % 5].format(key(alpha if i % 5 == 4 else base62))} and goes on") for i in range(100)]
+    rows += [(1000 + i, plain) for i in range(100)]
+    out = {r["doc_id"]: r for r in SE.scan_secrets(docs(spark, rows)).collect()}
+    for shape in range(5):
+        assert sum(out[i]["n_random"] > 0 for i in range(shape, 100, 5)) >= 17, shapes[shape]
+    assert sum(out[i]["n_random"] for i in out if i >= 1000) == 0
+    masked = [r["text"] for r in SE.mask_secrets(docs(spark, rows)).collect()]
+    assert sum("[secret]" in t for t in masked) >= 85
