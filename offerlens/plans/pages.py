@@ -245,6 +245,14 @@ def distinct_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.size(w).cast("long").alias("words")).groupBy("words").agg(F.count("*").alias("documents"))
 
 
+@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents)
+  SELECT CAST(len(w) AS BIGINT) AS words, count(*) AS documents FROM t GROUP BY len(w)""")
+def distinct_words_all(spark, sf_dir):
+    """distinct_words over every row, whatever its lang, with letters of any script; a null text has no words."""
+    w = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda x: x != ""))
+    return table(spark, sf_dir, "documents").select(F.size(w).cast("long").alias("words")).groupBy("words").agg(F.count("*").alias("documents"))
+
+
 # One shop page for each rung of the ladder.
 SHOP_PAGES = [
     (-1, "https://ld.test/deals", '<script type="application/ld+json">{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":{"@type":["Product"],"name":"Steel kettle K200","url":"/p/k200","image":[{"url":"/k.png"}],"offers":[{"price":"1,499.00","priceCurrency":"bdt"}]}},{"item":{"@type":"Product","name":"Pan","offers":{"lowPrice":20}}}]}</script>'),

@@ -10,3 +10,10 @@ def test_title_pairs_of_a_whole_brand(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = [(r["a"], r["b"]) for r in catalogue.QUERIES["title_jaccard_brand_pairs"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [(a, b) for a, b in combinations(range(1, 61), 2) if a % 2 == b % 2]
+
+
+def test_distinct_words_of_every_row(spark, tmp_path):
+    rows = [(1, "one two ONE", "en"), (2, "für grün", "de"), (3, "দাম কত", None), (4, None, "en"), (5, "", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["words"]: r["documents"] for r in catalogue.QUERIES["distinct_words_all"](spark, str(tmp_path)).collect()}
+    assert got == {2: 3, 0: 2}
