@@ -149,15 +149,39 @@ def read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def saved(df, name: str):
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def shared(spark) -> str:
+    """This application's folder below spark.checkpoint.dir; a local master alone may go without that setting."""
     import os
     import tempfile
+
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "offerlens-local")
+    return f"{base.rstrip('/')}/offerlens-{sc.applicationId}"
+
+
+def saved(df, name: str):
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     import uuid
 
-    sc = df.sparkSession.sparkContext
-    conf = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    base = conf or os.path.join(tempfile.gettempdir(), "offerlens-shared")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(df) -> None:
+    """Delete the table that saved() wrote for df; no later plan may read it."""
+    jvm, path = df.sparkSession._jvm, df.saved_at
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark) -> None:
+    """Delete all working tables of this application, once no result that reads them is needed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import saved
+from offerlens.llm.common import dropped, saved
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,9 +15,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     logarithmic number of rounds, each a few shuffles of the edges in which a key's minimum is combined before
     the shuffle; a hub's neighbours are rows of a join, which can be split, and never one group.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    now, before = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), None
     while True:
         now = saved(_star(_star(now, large=True), large=False), "edges")
+        if before is not None:
+            dropped(before)
+        before = now
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("links"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("links"), F.lit(1).alias("centre")))
         if ends.groupBy("x").agg(F.sum("links").alias("links"), F.max("centre").alias("centre")).where("links + centre > 1").isEmpty():
             break

@@ -20,7 +20,6 @@ from offerlens.llm import preference as PF
 from offerlens.llm import queries as Q
 from offerlens.llm import secrets as SE
 from offerlens.llm import toxicity as TX
-from offerlens.llm import vptree as VP
 from offerlens.llm.components import components
 from tests.compare import check
 
@@ -425,51 +424,6 @@ def test_templates_and_their_keys(spark):
     assert all(label in got[i] for i, (label, _, _) in enumerate(LS.TEMPLATES)) and got[99] == [""]
 
 
-# 10 neighbours
-
-
-def brute_neighbours(ids, x, k, queries):
-    out = {}
-    for i in queries:
-        s = x @ x[list(ids).index(i)]
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
-        out[i] = [int(ids[j]) for j in order]
-    return out
-
-
-def test_neighbours_equal_brute_force(spark):
-    rng = np.random.default_rng(0)
-    x = np.round(rng.normal(size=(700, 8)), 2)
-    x[50:90] = x[50]  # equal vectors: ties go to the smaller id
-    x[3] *= 9
-    rows = [(int(i), [float(v) for v in r], 0) for i, r in enumerate(x)]
-    odd = [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 8, 0), (2003, [float("nan")] * 8, 0), (2004, [None] * 8, 0), (2005, [float("inf")] * 8, 0), (2020, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")
-    got = {}
-    for r in VP.nearest(df, F.col("id") % 20 == 0, k=20, shard_rows=200, block_rows=16).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    want = brute_neighbours(np.arange(700), x, 20, range(0, 700, 20))
-    assert set(got) == set(want)
-    recall = np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want])
-    assert recall > 0.99 and got[60] == want[60]
-    assert VP.nearest(df.where("vec_id < 0"), F.col("id") % 20 == 0).count() == 0
-
-
-def test_relaxed_pruning_visits_less_and_one_is_exact():
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(30, 6)) * 4
-    x = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 6)) * 0.2
-    ids, q = np.arange(6000), np.arange(0, 6000, 60)
-    exact = {i: set(v) for i, v in brute_neighbours(ids, x, 10, q).items()}
-    seen = {}
-    for factor in (1.0, 3.0):
-        a, r, _, visits = VP.search(x, ids, x[q], q, 10, factor)
-        got = {int(q[i]): set(ids[r[a == i]].tolist()) for i in range(len(q))}
-        seen[factor] = (np.mean([len(got[i] & exact[i]) / 10 for i in exact]), visits)
-    leaves = sum(not isinstance(n, tuple) for n in VP.build(x))
-    assert seen[1.0][0] == 1.0 and seen[3.0][1] <= seen[1.0][1] < leaves * len(q)
-
-
 # the pipeline
 
 
