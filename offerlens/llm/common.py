@@ -52,6 +52,12 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     h = h ^ (h >> np.uint64(30))

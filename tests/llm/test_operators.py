@@ -10,7 +10,6 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate as DC
 from offerlens.llm import langid as LI
 from offerlens.llm import license_scan as LS
 from offerlens.llm import neardup as ND
@@ -171,48 +170,6 @@ def test_long_texts_are_cut_between_tokens():
     assert np.concatenate([enc.encode_to_numpy(x, disallowed_special=()) for x in PK.chunks(text, 100)]).tolist() == enc.encode_ordinary(text)
 
 
-# 3 decontamination
-
-
-def edits(p, t):
-    row = [0] * (len(t) + 1)
-    for i, c in enumerate(p, 1):
-        new = [i]
-        for j, x in enumerate(t, 1):
-            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
-
-
-def test_matches_equal_brute_alignment():
-    rnd = random.Random(8)
-    items = [(i, " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(rnd.randint(8, 40)))) for i in range(6)]
-    wins = DC.windows_of(items)
-    index = DC.Index(wins)
-    for _ in range(60):
-        w = rnd.randrange(len(wins))
-        p = list(wins[w][1].decode())
-        for _ in range(rnd.randint(0, 10)):
-            k = rnd.randrange(len(p))
-            p[k : k + rnd.randint(0, 1)] = rnd.choice(["", "z", "q"])
-        text = ("pre " * rnd.randint(0, 9) + "".join(p) + " post" * 5).encode()
-        data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-        hits = {v for _, v, b in index.candidates(data, off).tolist() if index.match(data, v, b)}
-        want = {v for v, (_, raw) in enumerate(wins) if edits(raw, text) <= index.k[v]}
-        assert hits == want
-
-
-def test_contaminated_documents(spark):
-    item = "The quick brown fox jumps over the lazy dog while seven wizards quietly boxed up fizzy jugs of quartz and vexing numbers."
-    rows = [(1, f"x {item} y"), (2, item.upper().replace(" ", "\n")), (3, item.replace("quick", "quack").replace("lazy", "hazy")), (4, item[:60]), (5, item[:110]), (6, None), (7, "")]
-    bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "short")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in DC.contaminated(docs(spark, rows), bench).collect()}
-    assert got == {(1, 10), (2, 10), (3, 10), (5, 10)}
-    assert {r["doc_id"] for r in DC.drop_contaminated(docs(spark, rows), bench).collect()} == {4, 6, 7}
-    assert DC.contaminated(docs(spark, []), bench).count() == 0
-    assert DC.contaminated(docs(spark, rows), bench.where("item_id < 0")).count() == 0
-
-
 # 4 preference
 
 
