@@ -125,9 +125,15 @@ class Model:
         return ends, best
 
     def nbest(self, s: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations (score, ids), the best first."""
+        """The n best segmentations (score, ids), the best first.
+
+        A position is expanded n times at most: a path that is the n + 1st best to reach it from the end goes on no
+        better than the n before it, so the n best are exact and a long run of equal scores stays linear. Of
+        equal scores the path taken up last goes first.
+        """
         ends, best = self.lattice(s)
         out, count = [], 0
+        times = [0] * (len(s) + 1)
         heap = [(-best[len(s)], 0, len(s), 0.0, None)]
         while heap and len(out) < n:
             _, _, at, g, path = heapq.heappop(heap)
@@ -138,9 +144,13 @@ class Model:
                     ids.extend(head if isinstance(head, tuple) else (head,))
                 out.append((g, ids))
                 continue
+            if times[at] >= n:
+                continue
+            times[at] += 1
             for start, piece, score in ends[at]:
-                count += 1
-                heapq.heappush(heap, (-(g + score + best[start]), count, start, g + score, (piece, path)))
+                if start == 0 or times[start] < n:
+                    count -= 1
+                    heapq.heappush(heap, (-(g + score + best[start]), count, start, g + score, (piece, path)))
         return out
 
     def segments(self, text: str) -> list[str]:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -337,6 +338,21 @@ def test_nbest_equals_every_segmentation(model):
     assert best[1] == 0.0 and more[1] == [] and off[2] == off[1]
 
 
+def test_long_runs_of_equal_letters(model):
+    for c in "a", "=", "語", "q":
+        for s in (c * 9, f"{c * 5}b{c * 4}"):
+            want = every_segmentation(model, s)
+            got = model.nbest(s, 6)
+            assert [round(x, 6) for x, _ in got] == [round(x, 6) for x, _ in want[:6]]
+            assert len({tuple(x) for _, x in got}) == len(got) and all((x, y) in want for x, y in got)
+    began = time.perf_counter()
+    e = SP.Encoder(model, 4)
+    ids, off, best, more = e.batch(["a" * 100_000, "a" * 1600, "=" * 20_000])
+    assert time.perf_counter() - began < 60
+    assert [model.decode(ids[a:b]) for a, b in itertools.pairwise(off.tolist())] == ["a" * 100_000, "a" * 1600, "=" * 20_000]
+    assert all(len(m) == 3 and m[0][0] <= b for m, b in zip(more, best, strict=True))
+
+
 def test_vector_and_single_search_agree(model):
     rnd = random.Random(0)
     segs = list({"".join(rnd.choices("▁theonéñ日ab.", k=rnd.randint(1, 30))) for _ in range(300)})
