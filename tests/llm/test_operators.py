@@ -198,15 +198,38 @@ def test_common_prefix_masks_and_odd_turns(spark):
 # 5 toxicity
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.7, 0.02), (0.5, 0.01), (0.3, 0.02), (0.6, 0.05))], 1)
-    votes = np.concatenate([votes, votes[:, :1]], 1)  # a copy of a voter is no further evidence
-    known = np.where(rng.random(4000) < 0.3, y.astype(int), -1)
-    m = TX.label_model(votes, 0.2, known)
-    assert abs(m["on1"][0] - 0.7) < 0.08 and m["share"][0] < 0.6 < m["share"][1]
-    assert ((m["posterior"] > 0.5) == y)[known < 0].mean() > 0.9
+    y = rng.random(6000) < 0.2
+    votes = np.stack([np.where(y, rng.random(6000) < a, rng.random(6000) < b) for a, b in ((0.7, 0.02), (0.5, 0.01), (0.4, 0.02), (0.6, 0.05))], 1)
+    # two more that mostly repeat the first one's vote
+    votes = np.concatenate([votes, *(np.where(rng.random(6000) < 0.95, votes[:, 0], rng.random(6000) < 0.1)[:, None] for _ in range(2))], 1)
+    m = TX.LabelModel(votes, np.array([0.05, 0.5, 0.9])[np.minimum(votes.sum(1), 2)])
+    assert (m.accuracy[1] > 5 * m.accuracy[0]).all()
+    joined = {frozenset((j, p)) for j, p in enumerate(m.parent) if p >= 0}
+    assert len(joined & {frozenset(x) for x in ((0, 4), (0, 5), (4, 5))}) == 2
+    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.9
+
+
+def test_label_model_posterior_equals_enumeration():
+    rng = np.random.default_rng(2)
+    y = rng.random(500) < 0.4
+    votes = np.stack([np.where(y, rng.random(500) < 0.6, rng.random(500) < 0.1) for _ in range(4)], 1)
+    votes = np.concatenate([votes, votes[:, :1]], 1)
+    m = TX.LabelModel(votes, np.where(votes.any(1), 0.9, 0.1))
+    joint = {}
+    for c in (0, 1):
+        for v in itertools.product((False, True), repeat=5):
+            p = m.share if c else 1 - m.share
+            for j, fires in enumerate(v):
+                r = m.rate[c, int(m.parent[j] >= 0 and v[m.parent[j]]), j]
+                p *= r if fires else 1 - r
+            joint[c, v] = p
+    assert abs(sum(joint.values()) - 1) < 1e-9 and (m.parent >= 0).any()
+    for row, q in zip(votes, m.posterior(votes), strict=True):
+        told = [sum(p for (c, v), p in joint.items() if c == y and all(v[j] for j in np.flatnonzero(row))) for y in (0, 1)]
+        told = [x * (r if row.any() else 1 - r) for x, r in zip(told, m.spoken, strict=True)]
+        assert abs(told[1] / sum(told) - q) < 1e-9
 
 
 def test_toxicity_on_held_out_rows(spark):
