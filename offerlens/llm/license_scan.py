@@ -7,8 +7,8 @@ template position) vote for a template at an offset, and a template is reported
 stand where that offset puts them, whatever else the file holds. The score counts the votes of the file's
 licence words of the highest IDF (over all files).
 
-Null or empty text: no words, no labels, score 0. doc_id is the key of a file. Extra columns are
-ignored.
+Null or empty text: no words, no labels, score 0. Each row is a file of its own, whether its doc_id is null,
+repeated or not. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,6 +67,10 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, at), lambda x: x.isNotNull())
 
 
+def _vocabulary() -> list[str]:
+    return sorted({w for _, words, _ in TEMPLATES for w in words.split()})
+
+
 def scan_licenses(docs: DataFrame, rarest: int = 12, least_votes: int = 2) -> DataFrame:
     """One row per document: word count, places of the base phrases, labels and a score in 0..1.
 
@@ -78,18 +82,20 @@ def scan_licenses(docs: DataFrame, rarest: int = 12, least_votes: int = 2) -> Da
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
     may = reduce(or_, (low.contains(w) for w in SIGNS))
-    words = F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(f"({_WORD})"), F.lit(1))
-    scanned = docs.select("doc_id", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.when(may, text).alias("text"))
-    scanned = scanned.select("doc_id", "n_words", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    words = F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(f"({_WORD})"), F.lit(1)), F.array().cast("array<string>"))
+    known = F.array(*map(F.lit, _vocabulary()))
+    scanned = docs.select("doc_id", words.alias("every"), may.alias("may"))
+    scanned = scanned.select("doc_id", F.size("every").cast("long").alias("n_words"), F.array_intersect("every", known).alias("has"), F.when(F.col("may"), F.col("every")).otherwise(F.array().cast("array<string>")).alias("words"))
     places = F.when(F.size("words") == 0, F.array().cast("array<array<bigint>>")).otherwise(F.array(*(_places(F.col("words"), p) for p in PHRASES)))
     base = scanned.withColumn("places", places).withColumn("all", F.flatten("places"))
     labels = F.array_compact(F.array(*(F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
     base = base.select(
-        "doc_id", "n_words", "words", F.size("all").cast("long").alias("n_base"), F.array_min("all").alias("first_word"), F.array_max("all").alias("last_word"), F.array_sort(labels).alias("base_set")
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "has", "words", F.size("all").cast("long").alias("n_base"), F.array_min("all").alias("first_word"), F.array_max("all").alias("last_word"), F.array_sort(labels).alias("base_set")
     )
-    base = saved(base, "licenses")  # the only pass over the texts
-    found = match_templates(base.where(F.size("words") > 0).select("doc_id", "words"), rarest, least_votes)
-    out = base.drop("words").join(found, "doc_id", "left")
+    base = saved(base, "licenses")  # the only pass over the texts; its row numbers stay
+    df = base.select(F.explode("has").alias("word")).groupBy("word").agg(F.count("*").alias("df"))  # over all files
+    found = match_templates(base.where(F.size("words") > 0).select("row", "words", "has"), df, rarest, least_votes)
+    out = base.drop("words", "has").join(found, "row", "left")
     both = F.array_sort(F.array_union("base_set", F.coalesce("method_set", F.array().cast("array<string>"))))
     return out.select(
         "doc_id",
@@ -103,58 +109,49 @@ def scan_licenses(docs: DataFrame, rarest: int = 12, least_votes: int = 2) -> Da
     )
 
 
-def match_templates(files: DataFrame, rarest: int, least_votes: int) -> DataFrame:
-    """(doc_id, method_set, share) of files (doc_id, words) by the positional index.
+def match_templates(files: DataFrame, df: DataFrame, rarest: int, least_votes: int) -> DataFrame:
+    """(row, method_set, share) of files (row, words, has: the licence words among them) by the positional index.
 
-    The templates and their postings are constants of a few hundred rows, broadcast. A file contributes only
-    its licence words; the document frequencies are a table of at most the licence vocabulary.
+    The templates and their postings are constants of a few hundred rows, broadcast; df has at most the licence
+    vocabulary. A file contributes only its licence words.
     """
     spark = files.sparkSession
     rows = [(t, label, w, p) for t, (label, words, _) in enumerate(TEMPLATES) for p, w in enumerate(words.split())]
     postings = spark.createDataFrame(rows, "template int, label string, word string, tpos int")
-    vocabulary = sorted({r[2] for r in rows})
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(vocabulary))
-    used = files.select("doc_id", "words", hits.alias("hits"))
-    df = used.select(F.explode(F.array_distinct(F.col("hits.word"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = F.array_sort(F.array_distinct(F.col("hits.word")))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(_vocabulary()))
     # the vocabulary's document frequencies: one row, one map
-    table = df.agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("table"))
-    used = used.withColumn("one", F.lit(1)).join(F.broadcast(table.withColumn("one", F.lit(1))), "one").drop("one")
-    rare = F.slice(F.array_sort(F.transform(ranked, lambda w: F.struct(F.try_element_at("table", w).alias("df"), w.alias("word")))), 1, rarest)
-    used = used.select("doc_id", "words", F.col("hits"), F.transform(rare, lambda x: x["word"]).alias("rare"))
-    looked = used.select("doc_id", "rare", F.explode("hits").alias("h")).select("doc_id", "h.word", F.col("h.pos").alias("pos"), F.array_contains("rare", F.col("h.word")).alias("scores"))
+    table = df.agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("table")).withColumn("one", F.lit(1))
+    used = files.select("row", hits.alias("hits"), "has", F.lit(1).alias("one")).join(F.broadcast(table), "one")
+    rare = F.slice(F.array_sort(F.transform("has", lambda w: F.struct(F.try_element_at("table", w).alias("df"), w.alias("word")))), 1, rarest)
+    used = used.select("row", "hits", rare.alias("rare")).select("row", "hits", F.col("rare.word").alias("rare"))
+    looked = used.select("row", "rare", F.explode("hits").alias("h")).select("row", "h.word", F.col("h.pos").alias("pos"), F.array_contains("rare", F.col("h.word")).alias("scores"))
     votes = (
         looked.join(F.broadcast(postings), "word")
-        .groupBy("doc_id", "template", "label", (F.col("pos") - F.col("tpos")).alias("shift"))
+        .groupBy("row", "template", "label", (F.col("pos") - F.col("tpos")).alias("shift"))
         .agg(F.size(F.collect_set("word")).alias("votes"), F.size(F.collect_set(F.when(F.col("scores"), F.col("word")))).alias("rare_votes"))
         .where(F.col("votes") >= least_votes)
     )
     sizes = spark.createDataFrame([(t, len(set(w.split()))) for t, (_, w, _) in enumerate(TEMPLATES)], "template int, distinct_words int")
     full = F.least(F.lit(rarest), F.col("distinct_words"))
-    share = F.least(F.lit(1.0), F.col("votes") / full)
-    rare_share = F.when(F.col("rare_votes") >= least_votes, F.least(F.lit(1.0), F.col("rare_votes") / full))
-    votes = votes.join(F.broadcast(sizes), "template").withColumn("share", share).withColumn("rare_share", rare_share)
-    # verification: the key phrases at the places that the offset gives
+    votes = votes.join(F.broadcast(sizes), "template").withColumn("share", F.least(F.lit(1.0), F.col("votes") / full)).withColumn("rare_share", F.when(F.col("rare_votes") >= least_votes, F.least(F.lit(1.0), F.col("rare_votes") / full)))
+    shifts = votes.groupBy("row").agg(F.collect_list(F.struct("template", "label", "shift", "share", "rare_share")).alias("votes"))
+    kept = F.filter("votes", _verified)
+    out = files.select("row", "words").join(shifts, "row").select("row", kept.alias("v")).where(F.size("v") > 0)
+    return out.select("row", F.array_distinct("v.label").alias("method_set"), F.coalesce(F.array_max("v.rare_share"), F.array_max("v.share")).alias("share"))
+
+
+def _verified(vote: Column) -> Column:
+    """The template's key phrases stand in `words` where the vote's offset puts them."""
     ok = F.lit(False)
     for t, (_, words, keys) in enumerate(TEMPLATES):
-        own = words.split()
-        each = F.col("template") == t
-        for key in keys:
-            k = key.split()
-            at = next((i for i in range(len(own) - len(k) + 1) if own[i : i + len(k)] == k), None)
-            for j, w in enumerate(k):
-                place = F.col("shift") + (at + j)
+        own, each = words.split(), vote["template"] == t
+        for key in (k.split() for k in keys):
+            at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+            for j, w in enumerate(key):
+                place = vote["shift"] + (at + j)
                 each = each & (place >= 0) & F.coalesce(F.get("words", place) == w, F.lit(False))
         ok = ok | each
-    shifts = votes.groupBy("doc_id").agg(F.collect_set(F.struct("template", "label", "shift", "share", "rare_share")).alias("votes"))
-    return (
-        files.join(shifts, "doc_id")
-        .select("doc_id", "words", F.explode("votes").alias("v"))
-        .select("doc_id", "words", "v.*")
-        .where(ok)
-        .groupBy("doc_id")
-        .agg(F.collect_set("label").alias("method_set"), F.coalesce(F.max("rare_share"), F.max("share")).alias("share"))
-    )
+    return ok
 
 
 def oracle(rarest: int = 12, least_votes: int = 2) -> str:
@@ -167,22 +164,22 @@ def oracle(rarest: int = 12, least_votes: int = 2) -> str:
             at = next(i for i in range(len(own)) if own[i : i + len(k)] == k)
             keys += [f"({t}, '{w}', {at + j})" for j, w in enumerate(k)]
     phrases = ", ".join(f"({i}, '{label}', '{w}', {j}, {len(p.split())})" for i, (p, label) in enumerate(PHRASES.items()) for j, w in enumerate(p.split()))
-    signs = " OR ".join(f"contains(lower(text), '{s}')" for s in SIGNS)
+    one = "CAST(1 AS DOUBLE)"
     return f"""
-WITH d AS (SELECT doc_id, coalesce({signs}, false) AS may, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-tok AS (SELECT doc_id, may, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tok AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
 ph(p, label, word, j, n) AS (VALUES {phrases}),
-base AS (SELECT doc_id, p, label, pos - j AS start FROM tok JOIN ph USING (word) GROUP BY doc_id, p, label, n, pos - j HAVING count(*) = n),
-b AS (SELECT doc_id, count(*) AS n, min(start) AS f, max(start) AS l, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
+base AS (SELECT r, p, label, pos - j AS start FROM tok JOIN ph USING (word) GROUP BY r, p, label, n, pos - j HAVING count(*) = n),
+b AS (SELECT r, count(*) AS n, min(start) AS f, max(start) AS l, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY r),
 post(t, label, word, tpos) AS (VALUES {postings}), kw(t, word, off) AS (VALUES {", ".join(keys)}),
-hit AS (SELECT doc_id, word, pos FROM tok WHERE may AND word IN (SELECT word FROM post)),
-df AS (SELECT word, count(DISTINCT doc_id) AS df FROM hit GROUP BY word),
-rare AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY df, word) AS k FROM (SELECT DISTINCT doc_id, word FROM hit) JOIN df USING (word)) WHERE k <= {rarest}),
-votes AS (SELECT doc_id, t, label, pos - tpos AS shift, count(DISTINCT hit.word) AS v FROM hit JOIN rare USING (doc_id, word) JOIN post ON post.word = hit.word GROUP BY doc_id, t, label, pos - tpos HAVING count(DISTINCT hit.word) >= {least_votes}),
-size AS (SELECT t, count(DISTINCT word) AS n FROM post GROUP BY t), kn AS (SELECT t, count(*) AS n FROM kw GROUP BY t),
-ok AS (SELECT v.doc_id, v.t, v.label, v.shift, v.v FROM votes v JOIN kw ON kw.t = v.t JOIN tok ON tok.doc_id = v.doc_id AND tok.pos = v.shift + kw.off AND tok.word = kw.word JOIN kn ON kn.t = v.t GROUP BY v.doc_id, v.t, v.label, v.shift, v.v, kn.n HAVING count(*) = kn.n),
-m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(least(CAST(1 AS DOUBLE), CAST(v AS DOUBLE) / least({rarest}, size.n))) AS share FROM ok JOIN size USING (t) GROUP BY doc_id)
+hit AS (SELECT r, word, pos FROM tok WHERE word IN (SELECT word FROM post)),
+df AS (SELECT word, count(DISTINCT r) AS df FROM hit GROUP BY word),
+rare AS (SELECT r, word FROM (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY df, word) AS k FROM (SELECT DISTINCT r, word FROM hit) JOIN df USING (word)) WHERE k <= {rarest}),
+votes AS (SELECT hit.r, t, label, pos - tpos AS shift, count(DISTINCT hit.word) AS v, count(DISTINCT rare.word) AS v_rare FROM hit JOIN post ON post.word = hit.word LEFT JOIN rare ON rare.r = hit.r AND rare.word = hit.word GROUP BY hit.r, t, label, pos - tpos HAVING count(DISTINCT hit.word) >= {least_votes}),
+size AS (SELECT t, least({rarest}, count(DISTINCT word)) AS n FROM post GROUP BY t), kn AS (SELECT t, count(*) AS n FROM kw GROUP BY t),
+ok AS (SELECT v.r, v.t, v.label, v.shift, v.v, v.v_rare FROM votes v JOIN kw ON kw.t = v.t JOIN tok ON tok.r = v.r AND tok.pos = v.shift + kw.off AND tok.word = kw.word JOIN kn ON kn.t = v.t GROUP BY v.r, v.t, v.label, v.shift, v.v, v.v_rare, kn.n HAVING count(*) = kn.n),
+m AS (SELECT r, list(DISTINCT label) AS labels, coalesce(max(least({one}, CAST(v_rare AS DOUBLE) / n)) FILTER (v_rare >= {least_votes}), max(least({one}, CAST(v AS DOUBLE) / n))) AS share FROM ok JOIN size USING (t) GROUP BY r)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n, 0) AS n_base, b.f AS first_word, b.l AS last_word, coalesce(list_aggregate(b.labels, 'string_agg', ','), '') AS base_labels,
-  coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), 'string_agg', ','), '') AS labels, CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(m.share, 0) END AS score
-FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+  coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), 'string_agg', ','), '') AS labels, CASE WHEN b.n > 0 THEN {one} ELSE coalesce(m.share, 0) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
 """

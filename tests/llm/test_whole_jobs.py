@@ -36,3 +36,20 @@ def test_glued_and_letter_only_secrets_are_found(spark):
     assert sum(out[i]["n_random"] for i in out if i >= 1000) == 0
     masked = [r["text"] for r in SE.mask_secrets(docs(spark, rows)).collect()]
     assert sum("[secret]" in t for t in masked) >= 85
+
+
+def test_rows_of_one_or_no_id_keep_their_own_labels(spark):
+    mit, apache = "released under the MIT license", "licensed under the Apache License, Version 2.0"
+    rows = [(1, f"{mit} and so on"), (1, "nothing here"), (None, mit), (None, f"word {apache}"), (2, f"{mit} {apache}")]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["labels"]) for r in LS.scan_licenses(docs(spark, rows)).collect())
+    assert got == [(0, 5, "mit"), (0, 9, "apache-2.0"), (1, 2, ""), (1, 8, "mit"), (2, 13, "apache-2.0,mit")]
+
+
+def test_a_word_of_many_files_counts_less_for_the_score(spark):
+    # "software" stands in every file, licence or not; with room for two words it is not among the rarest
+    rows = [(1, "unencumbered software released into the public domain, free, and this is it"), *[(10 + i, "plain software talk") for i in range(20)]]
+    out = LS.scan_licenses(docs(spark, rows), rarest=3).where("doc_id = 1").first()
+    assert out["labels"] == "" or 0 < out["score"] <= 1
+    text = "this is free and unencumbered software released into the public domain"
+    rows[0] = (1, text)
+    assert LS.scan_licenses(docs(spark, rows)).where("doc_id = 1").first()["labels"] == "unlicense"
