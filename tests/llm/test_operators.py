@@ -119,6 +119,41 @@ def test_samples_agree_as_often_as_texts_do():
     assert abs((heavy[0] == heavy[1]).mean() - same) < 0.25
 
 
+def test_a_boilerplate_shingle_weighs_less(spark):
+    rnd = random.Random(12)
+    own = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    notice = "this notice stands at the foot of every second page of the site"
+    df = docs(spark, [(i, f"{own(40)} {notice}" if i % 2 else own(45)) for i in range(400)])
+    idf = ND.document_frequencies(df)
+    d, key, count = ND.weighted_sets(pa.array([notice, own(20)], pa.large_string()))
+    w = idf.weights(key)
+    assert np.allclose(w[d == 0], np.log1p(400 / 200) / np.log1p(64)) and (w[d == 1] == 1).all()
+    # two texts of mostly the notice: alike by counts, not by TF-IDF
+    pair = [f"{notice} {notice.upper()} {own(2)}", f"{notice} {notice.upper()} {own(2)}"]
+    d, key, count = ND.weighted_sets(pa.array(pair, pa.large_string()))
+    plain, weighed = (ND.paired_jaccard(d, key, w, 1)[0] for w in (count.astype(float), count * idf.weights(key)))
+    assert weighed < plain - 0.1
+
+
+def test_recall_on_documents_equals_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    rows = df.select("doc_id", "text").collect()
+    want = brute_classes([r["text"] for r in rows], ND.document_frequencies(df).weights)
+    got = {r["doc_id"]: r for r in ND.near_duplicates(df).collect()}
+    ids = [r["doc_id"] for r in rows]
+    assert [got[i]["class_id"] for i in ids] == [ids[k] for k in want]
+    assert sum(r["links"] for r in got.values()) > 0
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    text, other, third = ("one two three four five six seven eight nine ten", "some wholly other words stand in this text here", "and a third text that is like neither of them")
+    rows = [(3, text), (4, other), (5, text), (5, other), (None, text), (None, third), (None, third), (4, other)]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in ND.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(0, 0, 2), (0, 0, 2), (0, 3, 3), (3, 3, 3), (4, 4, 3), (4, 4, 3), (5, 3, 3), (5, 4, 3)]
+    kept = ND.keep_one(docs(spark, rows).withColumn("row", F.lit(7)))
+    assert sorted((r["doc_id"] or 0, r["text"], r["row"]) for r in kept.collect()) == sorted([(0, third, 7), (3, text, 7), (4, other, 7)])
+
+
 def test_near_duplicates_of_odd_and_no_rows(spark):
     got = {r["doc_id"]: r["class_id"] for r in ND.near_duplicates(docs(spark, ODD)).collect()}
     assert got[1] == got[2] == 1 and got[5] == got[6] == 5 and len(got) == 8
