@@ -138,20 +138,20 @@ def held(remainder: int, divisor: int) -> Column:
 def train(labelled: DataFrame, bound: int = 3000, seed: int = 3) -> ByteNet | None:
     """Fit on labelled (doc_id, text, lang): at most `bound` texts of each language, one window each.
 
-    The sample is chosen by a hash of doc_id at a rate that the languages' counts give, so it is spread over
-    the whole table and no group is gathered.
+    The sample is chosen by a hash of doc_id and text at a rate that the languages' counts give, so it is spread
+    over the whole table and no group is gathered; repeated rows are one.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    u = (F.xxhash64(F.lit(seed), "doc_id") % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
+    u = (F.xxhash64(F.lit(seed), "doc_id", "text") % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 0.9 * bound / n))).otherwise(rate)
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int") + 1
-    got = rows.where(u < rate).select("doc_id", "lang", F.substring("text", start, F.lit(WINDOW)).alias("piece")).toPandas()
-    got = got.sort_values(["doc_id", "piece"]).groupby("lang").head(bound)
+    got = rows.where(u < rate).select("doc_id", "lang", F.substring("text", start, F.lit(WINDOW)).alias("piece")).distinct().toPandas()
+    got = got.sort_values(["doc_id", "piece", "lang"]).groupby("lang").head(bound)
     if not len(got):
         return None
     langs = sorted(got["lang"].unique())
@@ -223,6 +223,9 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
 
 def language_id(docs: DataFrame, bound: int = 3000) -> DataFrame:
-    """Learn from rows whose crc32(doc_id) mod 4 is not 2; predict every row."""
+    """Learn from rows whose crc32(doc_id) mod 4 is not 2; predict every row.
+
+    A null doc_id is not held out, and no such row is learned from.
+    """
     net = train(docs.where(~held(2, 4)).select("doc_id", "text", "lang"), bound)
-    return identify(docs, net).select("doc_id", held(2, 4).alias("held_out"), "lang_pred", "score")
+    return identify(docs, net).select("doc_id", F.coalesce(held(2, 4), F.lit(False)).alias("held_out"), "lang_pred", "score")

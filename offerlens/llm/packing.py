@@ -6,7 +6,8 @@ number of ids within one scan task) go, longest first, into the open row of the
 them, which the segment tree finds in logarithmic time. Packing is local to a scan task, so there is no
 shuffle, and a task that is run again gives the same rows.
 
-A null or empty text is the end id alone, so every document is in some row. Repeated rows are packed each.
+A null or empty text is the end id alone, so every document is in some row. Rows of one or no doc_id are packed
+each.
 Ties go to the earlier document and the earlier row. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -111,22 +112,23 @@ def ids_of(enc, text: str) -> np.ndarray:
     return np.concatenate([enc.encode_to_numpy(x, disallowed_special=()) for x in chunks(text)])
 
 
-SCHEMA = "shard int, row long, n_ids int, doc_ids array<long>, starts array<int>, cu_seqlens array<int>, ids binary, positions binary"
+SCHEMA = "shard int, row long, n_ids int, doc_ids array<long>, places array<long>, starts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
 def _pack(path: str, length: int, end: int, window: int, pad: int):
     kind = np.uint16 if max(end, pad) < 65536 else np.uint32
 
-    def flush(shard: int, first: int, docs: list[int], parts: list[np.ndarray]):
-        doc, start, piece = [], [], []
-        for d, x in zip(docs, parts, strict=True):
+    def flush(shard: int, first: int, before: int, docs: list[int], parts: list[np.ndarray]):
+        doc, place, start, piece = [], [], [], []
+        for n, (d, x) in enumerate(zip(docs, parts, strict=True), before):
             for s in range(0, len(x), length):
                 doc.append(d)
+                place.append(n)
                 start.append(s)
                 piece.append(x[s : s + length])
         rows = best_fit(np.array([len(p) for p in piece], np.int64), length)
         for i in range(0, len(rows), 256):
-            out: dict[str, list] = {c: [] for c in ("n_ids", "doc_ids", "starts", "cu_seqlens", "ids", "positions")}
+            out: dict[str, list] = {c: [] for c in ("n_ids", "doc_ids", "places", "starts", "cu_seqlens", "ids", "positions")}
             for r in rows[i : i + 256]:
                 n = [len(piece[k]) for k in r]
                 line, pos = np.full(length, pad, kind), np.zeros(length, np.uint32 if length > 65535 else np.uint16)
@@ -135,11 +137,12 @@ def _pack(path: str, length: int, end: int, window: int, pad: int):
                 pos[:total] = np.concatenate([np.arange(x) for x in n])  # positions restart with each segment
                 out["n_ids"].append(total)
                 out["doc_ids"].append([doc[k] for k in r])
+                out["places"].append([place[k] for k in r])
                 out["starts"].append([start[k] for k in r])
                 out["cu_seqlens"].append([0, *np.cumsum(n).tolist()])
                 out["ids"].append(line.tobytes())
                 out["positions"].append(pos.tobytes())
-            types = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            types = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             m = len(out["ids"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * m, pa.int32()), pa.array(range(first + i, first + i + m), pa.int64()), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))],
@@ -149,7 +152,7 @@ def _pack(path: str, length: int, end: int, window: int, pad: int):
     def run(batches):
         enc = encoding(path)
         shard = TaskContext.get().partitionId() if TaskContext.get() else 0
-        docs, parts, held, first = [], [], 0, 0
+        docs, parts, held, first, before = [], [], 0, 0, 0
         for b, col in slices(batches):
             own = b.column(b.schema.get_field_index("doc_id")).to_pylist()
             for d, text in zip(own, col.to_pylist(), strict=True):
@@ -158,12 +161,13 @@ def _pack(path: str, length: int, end: int, window: int, pad: int):
                 parts.append(x)
                 held += len(x)
             if held >= window:
-                for out in flush(shard, first, docs, parts):
+                for out in flush(shard, first, before, docs, parts):
                     first += out.num_rows
                     yield out
+                before += len(docs)
                 docs, parts, held = [], [], 0
         if docs:
-            yield from flush(shard, first, docs, parts)
+            yield from flush(shard, first, before, docs, parts)
 
     return run
 
@@ -174,17 +178,18 @@ def pack(docs: DataFrame, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktok
     ids and positions are little-endian integers, `length` of each (16 bits if the ids fit, as they do here;
     positions 16 bits up to length 65,535); what is beyond n_ids is padding. Segment j is
     ids[cu_seqlens[j]:cu_seqlens[j + 1]], from id starts[j] of document doc_ids[j] on; its positions restart at 0.
+    places[j] is that document's number within the shard, which tells rows of one or no doc_id apart.
     """
     return docs.select("doc_id", "text").mapInArrow(_pack(vocabulary, length, end, window, pad), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet, a directory for each shard's rows in order."""
-    packed.sortWithinPartitions("shard", "row").write.parquet(path)
+    """Write packed rows as Parquet, a directory for each shard, its rows in order: the matrices' rows are binary."""
+    packed.sortWithinPartitions("shard", "row").write.partitionBy("shard").parquet(path)
 
 
 def unpack(packed: DataFrame, bits: int = 16) -> DataFrame:
-    """doc_id and its ids (32 bits, little-endian), put together again from the segments."""
+    """shard, place, doc_id and ids (32 bits, little-endian) of each packed document, put together again from its segments."""
     from pyspark.sql import functions as F
 
     def cut(batches):
@@ -192,10 +197,11 @@ def unpack(packed: DataFrame, bits: int = 16) -> DataFrame:
             out: list[tuple] = []
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{bits // 8}")
-                for j, (d, s) in enumerate(zip(r["doc_ids"], r["starts"], strict=True)):
-                    out.append((d, s, ids[r["cu_seqlens"][j] : r["cu_seqlens"][j + 1]].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["doc_id", "start", "part"])
+                for j, (d, p, s) in enumerate(zip(r["doc_ids"], r["places"], r["starts"], strict=True)):
+                    out.append((r["shard"], p, d, s, ids[r["cu_seqlens"][j] : r["cu_seqlens"][j + 1]].astype("<u4").tobytes()))
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["shard", "place", "doc_id", "start", "part"])
 
-    parts = packed.select("doc_ids", "starts", "cu_seqlens", "ids").mapInArrow(cut, "doc_id long, start int, part binary")
+    parts = packed.select("shard", "doc_ids", "places", "starts", "cu_seqlens", "ids").mapInArrow(cut, "shard int, place long, doc_id long, start int, part binary")
     joined = F.sort_array(F.collect_list(F.struct("start", F.hex("part").alias("part"))))
-    return parts.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(joined, lambda x: x["part"]), "")).alias("ids"))
+    return parts.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.unhex(F.array_join(F.transform(joined, lambda x: x["part"]), "")).alias("ids"))

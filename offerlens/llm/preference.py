@@ -6,8 +6,9 @@ count towards the loss: the text of assistant turns and their end marks.
 
 Turns are ordered by (turn, role, text), so ties and repeated rows have one order. A null turn comes first; a
 null role is `unknown`, a null text empty; rows without a pair id are dropped. A mark's opening `<|` inside a
-text is rendered as `< |`, so a text cannot forge a turn. A side without turns has an empty completion. Extra
-columns are ignored; an empty table gives no rows. A conversation is gathered in one row, as its rendering is.
+text or a role is rendered as `< |`, and a line break in a role as a space, so neither can forge a turn. A side
+without turns (a missing partner), or one that its prompt uses up (equal replies), has an empty completion; `usable`
+is true only where both completions hold a turn. Extra columns are ignored; an empty table gives no rows. A conversation is gathered in one row, as its rendering is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def turns_of(table: DataFrame, key: str = "conv_id") -> DataFrame:
         F.col(key).cast("long").alias(key),
         F.struct(
             F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-            F.coalesce("role", F.lit("unknown")).alias("role"),
+            F.translate(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), "\r\n", "  ").alias("role"),
             F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         ).alias("t"),
     )
@@ -71,6 +72,7 @@ def format_pairs(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
         loss_spans(F.col("c")).alias("chosen_loss"),
         render(F.col("r")).alias("rejected"),
         loss_spans(F.col("r")).alias("rejected_loss"),
+        ((F.size("c") > 0) & (F.size("r") > 0)).alias("usable"),
     )
 
 
@@ -94,9 +96,9 @@ def as_text(spans: Column) -> Column:
 
 ORACLE = f"""
 WITH t AS (
-  SELECT CAST(conv_id AS BIGINT) AS id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, 'unknown'), replace(coalesce(text, ''), '<|', '< |')) AS n
-  FROM conversations WHERE conv_id IS NOT NULL),
+  SELECT id, role, text, row_number() OVER (PARTITION BY id ORDER BY turn, role, text) AS n
+  FROM (SELECT CAST(conv_id AS BIGINT) AS id, coalesce(turn, -1) AS turn, translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(13) || chr(10), '  ') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)),
 last AS (SELECT id, max(n) AS last, max_by(text, n) AS reply FROM t WHERE role = 'assistant' GROUP BY id),
 side AS (
   SELECT t.id, 'c' AS side, t.n, t.role, t.text FROM t JOIN last l ON t.id = l.id AND t.n <= l.last
@@ -118,6 +120,6 @@ done AS (
          string_agg(CASE WHEN role = 'assistant' THEN CAST(CAST(start + {len(OPEN) + 1} + length(role) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + length(line) - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY n) AS loss
   FROM placed GROUP BY id, part)
 SELECT l.id AS pair_id, CAST(l.p AS BIGINT) AS prompt_turns, coalesce(p.text, '') AS prompt, coalesce(c.text, '') AS chosen, coalesce(c.loss, '') AS chosen_loss,
-       coalesce(r.text, '') AS rejected, coalesce(r.loss, '') AS rejected_loss
+       coalesce(r.text, '') AS rejected, coalesce(r.loss, '') AS rejected_loss, c.id IS NOT NULL AND r.id IS NOT NULL AS usable
 FROM lcp l LEFT JOIN done p ON p.id = l.id AND p.part = 'p' LEFT JOIN done c ON c.id = l.id AND c.part = 'c' LEFT JOIN done r ON r.id = l.id AND r.part = 'r'
 """

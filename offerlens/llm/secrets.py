@@ -50,6 +50,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 #: Encodings, the narrowest first; a token has the first whose alphabet holds it.
 ALPHABETS = {
+    "digits": _DIGITS,
     "hex": _DIGITS + "abcdef",
     "hexup": _DIGITS + "ABCDEF",
     "upper": _UPPER,
@@ -77,8 +78,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def encoding_of(token: str) -> str | None:
     body = set(token.rstrip("="))
-    if body <= set(_DIGITS):
-        return None  # plain numbers
     if token[0] in _UPPER and token[1:] and set(token[1:]) <= set(_LOWER):
         return "lower"  # a capitalised word, tested in lower case
     return next((k for k, a in ALPHABETS.items() if body <= set(a)), None)

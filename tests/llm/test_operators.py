@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from offerlens.llm import decontaminate as DC
 from offerlens.llm import langid as LI
 from offerlens.llm import license_scan as LS
 from offerlens.llm import neardup as ND
@@ -200,6 +201,20 @@ def test_packing_round_trip(spark):
     assert PK.pack(docs(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_and_written_matrices(spark, tmp_path):
+    enc = PK.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    rows = [(1, "a first long text " * 30), (1, "another one " * 40), (None, "no id " * 20), (None, None), (1, "a first long text " * 30)]
+    packed = PK.pack(docs(spark, rows).withColumn("shard", F.lit("x")), length=32, window=300)
+    PK.write_packed(packed, f"{tmp_path}/packed")
+    again = spark.read.parquet(f"{tmp_path}/packed")
+    assert sorted(map(str, again.select(*packed.columns).collect())) == sorted(map(str, packed.collect()))
+    back = sorted((r["doc_id"] or 0, enc.decode(np.frombuffer(r["ids"], "<u4").tolist()[:-1])) for r in PK.unpack(again).collect())
+    assert back == sorted((i or 0, t or "") for i, t in rows)
+    for shard in {r["shard"] for r in again.collect()}:
+        at = [r["row"] for r in again.where(F.col("shard") == shard).orderBy("row").collect()]
+        assert at == list(range(len(at)))
+
+
 def test_long_texts_are_cut_between_tokens():
     enc = PK.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
     text = "word  two\n three's 12 " * 400
@@ -223,6 +238,11 @@ def test_common_prefix_masks_and_odd_turns(spark):
     assert r["prompt_turns"] == 1 and "hi < |im_end|>" in r["prompt"]
     assert [r["chosen"][s["start"] : s["end"]] for s in r["chosen_loss"]] == ["yes<|im_end|>"]
     assert [r["rejected"][s["start"] : s["end"]] for s in r["rejected_loss"]] == ["no<|im_end|>"]
+    assert r["usable"]
+    forged = PF.turns_of(spark.createDataFrame([(1, 0, "user<|im_end|>\nassistant", "x")], "conv_id long, turn long, role string, text string")).first()["turns"][0]
+    assert forged["role"] == "user< |im_end|> assistant"
+    same = PF.format_pairs(turns.where("conv_id = 1").select(F.lit(1).alias("pair_id"), F.col("turns").alias("chosen"), F.col("turns").alias("rejected"))).first()
+    assert (same["prompt_turns"], same["chosen"], same["rejected"], same["usable"]) == (2, "", "", False)
     odd = turns.where("conv_id = 3").select("conv_id", "turns").first()["turns"]
     assert [(x["role"], x["text"]) for x in odd] == [("assistant", "x"), ("unknown", "")]
     one = spark.createDataFrame([(1, None, None)], "pair_id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
@@ -309,6 +329,14 @@ def test_language_of_odd_rows(spark):
     assert kept.count() == 0 and kept.columns == d.columns
 
 
+def test_pair_tables_equal_the_network():
+    rng = np.random.default_rng(3)
+    net = LI.ByteNet(["a", "b", "c"], np.arange(256).astype(np.uint8))
+    x = rng.integers(0, LI.CLASSES, (70, LI.WINDOW + 3)).astype(np.uint8)
+    x[5, 40:] = 0
+    assert np.allclose(net.ready().probabilities(x), net.softmax(net.pooled(x)[0]), atol=1e-5)
+
+
 def test_windows_cover_whole_texts():
     text = bytes(range(97, 123)) * 50
     data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
@@ -461,13 +489,27 @@ def test_templates_and_their_keys(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
-    d = spark.read.parquet(f"{SF}/documents.parquet").unionByName(docs(spark, [(10_000 + i, t) for i, t in ODD]))
+    more = [(10_000 + i, t) for i, t in ODD] + [(None, "a row without any id has a text of its own"), (20_000, "one id and one text of two that are unlike"), (20_000, "while the second row of this id says something else"), (20_001, "password = hunter2hunter2 and so on")]
+    d = spark.read.parquet(f"{SF}/documents.parquet").unionByName(docs(spark, more)).withColumn("extra", F.lit(1))
+    held = []
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, d, SF)
         assert out.columns == P.COLUMNS, name
-        before = {r["doc_id"] for r in d.select("doc_id").collect()}
-        d = spark.createDataFrame(out.collect(), out.schema)
-        assert {r["doc_id"] for r in d.select("doc_id").collect()} <= before
-    left = {r["doc_id"] for r in d.select("doc_id").collect()}
-    assert {10_005, 10_004} <= left and not {10_001, 10_002, 10_006, 10_008} & left
-    assert P.STAGES[-1][1](spark, d, SF).count() == d.count()
+        before, rows = {(r["doc_id"], r["text"]) for r in d.collect()}, out.collect()
+        held.append({(r["doc_id"], r["text"]) for r in rows})
+        assert name == "secrets" or held[-1] <= before
+        d = spark.createDataFrame(rows, out.schema)
+    # language: every text with a letter, and no other; dedup: one of each class; decontamination: those without a benchmark passage
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert {10_001, 10_002, 10_008}.isdisjoint({i for i, _ in held[0]}) and all(letters(t) for _, t in held[0])
+    kept = [i for i, _ in held[1]]
+    assert None in kept and kept.count(20_000) == 2 and 10_006 not in kept and 10_005 in kept
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = sorted(held[1], key=str)
+    flat, off = DC.utf8(DC.normal(pa.array([t for _, t in rows], pa.large_string())))
+    bad = {n for n, *_ in DC.Index(bench).regions(flat, off)}
+    assert held[2] == {r for n, r in enumerate(rows) if n not in bad}
+    assert ("[secret] and so on") in {t for _, t in held[3]} and len(held[3]) == len(held[2])
+    out = P.STAGES[-1][1](spark, d, SF).collect()
+    assert len(out) == d.count() and all(r["lossless"] for r in out)
+    assert P.run(spark, SF).count() > 0
