@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, secret scan, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Null texts, ties, repeated rows and extra columns behave as the stages' operators document.
+documents. A row is a document, whether its doc_id is null, repeated or not; null texts, ties, repeated rows
+and extra columns behave as the stages' operators document.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ def language(spark, docs, sf_dir):
 
 
 def dedup(spark, docs, sf_dir):
-    """Keep the document that names each near-duplicate class (its least doc_id)."""
-    kept = neardup.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keep one document of each near-duplicate class: that of its least doc_id, else its first row."""
+    return neardup.keep_one(docs).select(*COLUMNS)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Drop documents that hold a benchmark text."""
+    """Drop documents that hold part of a benchmark text."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
