@@ -166,19 +166,43 @@ def comparison_groups(offers: DataFrame, run: list[str], threshold: float = 0.5,
     """
     cols = [*run, "currency"]
     t = offers.withColumn("norm", X.normalize_title("title")).withColumn("tokens", X.content_tokens("norm")).withColumn("models", X.model_tokens("tokens"))
-    t = t.select(*cols, "ord", "title", "norm", "tokens", "models", "dealPrice", "sourceSite")
+    if "productUrl" not in t.columns:
+        t = t.withColumn("productUrl", F.lit(None).cast("string"))
+    kept = [*cols, "ord", "title", "norm", "dealPrice", "sourceSite", "productUrl"]
+    t = t.select(*kept, "tokens", "models")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["dealPrice", "ord"], kind="stable")
-        return rows.assign(grp=_cluster(rows, threshold, same_site, ratio))[[*cols, "ord", "title", "norm", "dealPrice", "sourceSite", "grp"]]
+        return rows.assign(grp=_cluster(rows, threshold, same_site, ratio))[[*kept, "grp"]]
 
     kind = {f.name: f.dataType.simpleString() for f in t.schema}
-    schema = ", ".join(f"`{c}` {kind[c]}" for c in (*cols, "ord", "title", "norm", "dealPrice", "sourceSite")) + ", grp int"
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in kept) + ", grp int"
     return summarize_groups(t.groupBy(cols).applyInPandas(walk, schema).where("grp >= 0"), [*cols, "grp"]).drop("grp")
 
 
+def similar_titles(titles: DataFrame, by: list[str], least: float, salts: int = 8) -> DataFrame:
+    """(a, b, jaccard) of the pairs of (id, tokens) within a group `by` that reach `least`.
+
+    Two sets that reach it share one of the rarest tokens of either: of n tokens, the n - ceil(least x n) + 1
+    rarest. Only titles that meet in such a token are compared; `salts` spread a token's pairs over tasks.
+    """
+    t = titles.withColumn("tokens", F.array_distinct("tokens")).where(F.size("tokens") > 0)
+    words = t.select(*by, "id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    df = words.groupBy(*by, "w").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    rare = words.join(df, [*by, "w"]).withColumn("k", nth).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    a = rare.select(*by, "w", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    b = rare.select(*by, "w", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = a.join(b, [*by, "w", "salt"]).where("a < b").select("a", "b").distinct()
+    sides = (t.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    for x, side in zip("ab", sides, strict=True):
+        pairs = pairs.join(side, x)
+    return pairs.select("a", "b", X.jaccard("tokens_a", "tokens_b").alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def summarize_groups(members: DataFrame, by: list[str]) -> DataFrame:
-    """Best and worst price, savings; groups of one shop go."""
+    """The items by price, best and worst price, savings; groups of one shop go. Most savings come
+    first within a run by `place`."""
     g = members.groupBy(by).agg(
         F.min_by("title", F.struct("dealPrice", "ord")).alias("representativeTitle"),
         F.min_by("norm", F.struct("dealPrice", "ord")).alias("repNorm"),
@@ -186,10 +210,13 @@ def summarize_groups(members: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("items"),
         F.min("dealPrice").alias("bestPrice"),
         F.max("dealPrice").alias("worstPrice"),
+        F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in ("dealPrice", "ord", "sourceSite", "title", "productUrl") if c in members.columns)))).alias("members"),
     )
     savings = F.col("worstPrice") - F.col("bestPrice")
     pct = F.when(F.col("worstPrice") > 0, P.js_round(savings / F.col("worstPrice") * 100)).otherwise(F.lit(0)).cast("long")
-    return g.where("sites > 1").select(*by, P.make_id(F.col("repNorm")).alias("key"), "representativeTitle", "sites", "items", "bestPrice", "worstPrice", savings.alias("savings"), pct.alias("savingsPercent"))
+    told = g.where("sites > 1").select(*by, P.make_id(F.col("repNorm")).alias("key"), "representativeTitle", "sites", "items", "bestPrice", "worstPrice", savings.alias("savings"), pct.alias("savingsPercent"), "members")
+    first = F.get("members", F.lit(0))["ord"]
+    return told.withColumn("place", F.row_number().over(Window.partitionBy([c for c in by if c != "grp"]).orderBy(F.desc("savings"), "bestPrice", first)))
 
 
 def fingerprint(offers: DataFrame, by: list[str], title: str = "title", top: int = 20, decomposed: bool = False) -> DataFrame:

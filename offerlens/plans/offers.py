@@ -177,30 +177,18 @@ def title_tokens(spark, sf_dir):
     return t.select("p_partkey", X.normalize_title(F.concat("title", F.lit(" (New) Pack of 6 pcs!"))).alias("norm"), F.array_join("tokens", " ").alias("tokens"), F.array_join(X.model_tokens("tokens"), " ").alias("models"))
 
 
-@query(
-    f"""WITH {_TITLES_SQL}, t AS (SELECT p_partkey, {_TOKENS} AS tokens, p_brand, p_partkey % 50 AS bucket FROM titles)
-  SELECT a.p_partkey AS a, b.p_partkey AS b, {_SIX.format("CAST(len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) / len(list_distinct(list_concat(a.tokens, b.tokens)))")} AS jaccard
-  FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.bucket = b.bucket AND a.p_partkey < b.p_partkey"""
-)
-def title_jaccard_pairs(spark, sf_dir):
-    """F7 over pairs of one brand and bucket."""
-    t = part_titles(spark, sf_dir).select("p_partkey", "p_brand", (F.col("p_partkey") % 50).alias("bucket"), X.content_tokens(X.normalize_title("title")).alias("tokens"))
-    a, b = (t.select("p_brand", "bucket", F.col("p_partkey").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    return a.join(b, ["p_brand", "bucket"]).where("a < b").withColumn("j", X.jaccard("ta", "tb")).select("a", "b", _six("j").alias("jaccard"))
+LEAST_JACCARD = 0.6
 
 
 @query(
-    f"""WITH {_TITLES_SQL}, t AS (SELECT p_partkey, {_TOKENS} AS tokens, p_brand FROM titles)
-  SELECT a.p_partkey AS a, b.p_partkey AS b, {_SIX.format("CAST(len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) / len(list_distinct(list_concat(a.tokens, b.tokens)))")} AS jaccard
-  FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey"""
+    f"""WITH {_TITLES_SQL}, t AS (SELECT p_partkey, {_TOKENS} AS tokens, p_brand FROM titles),
+  j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) / len(list_distinct(list_concat(a.tokens, b.tokens))) AS j FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+  SELECT a, b, {_SIX.format("j")} AS jaccard FROM j WHERE j >= {LEAST_JACCARD}"""
 )
-def title_jaccard_brand_pairs(spark, sf_dir):
-    """F7 over all pairs of one brand; the salt only spreads a brand's pairs over tasks."""
-    t = part_titles(spark, sf_dir).select("p_partkey", "p_brand", X.content_tokens(X.normalize_title("title")).alias("tokens"))
-    a, b = (t.select("p_brand", F.col("p_partkey").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    a = a.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16)).cast("int"))
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return a.join(b, ["p_brand", "salt"]).where("a < b").withColumn("j", X.jaccard("ta", "tb")).select("a", "b", _six("j").alias("jaccard"))
+def title_jaccard_pairs(spark, sf_dir):
+    """F7 over all parts of one brand: the pairs of at least LEAST_JACCARD."""
+    t = part_titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), "p_brand", X.content_tokens(X.normalize_title("title")).alias("tokens"))
+    return O.similar_titles(t, ["p_brand"], LEAST_JACCARD).select("a", "b", _six("jaccard").alias("jaccard"))
 
 
 _BIGRAMS = "[substr({0}, i, 2) FOR i IN range(1, length({0}))]"

@@ -237,18 +237,10 @@ def next_pages(spark, sf_dir):
     return spark.createDataFrame(_NEXT, "id long, url string, html string").select("id", follow("html", "url").alias("next"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM documents WHERE lang = 'en')
-  SELECT CAST(len(w) AS BIGINT) AS words, count(*) AS documents FROM t GROUP BY len(w)""")
-def distinct_words(spark, sf_dir):
-    """Distinct words of a text, as the fingerprint's token sets have them."""
-    w = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.size(w).cast("long").alias("words")).groupBy("words").agg(F.count("*").alias("documents"))
-
-
 @query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents)
   SELECT CAST(len(w) AS BIGINT) AS words, count(*) AS documents FROM t GROUP BY len(w)""")
-def distinct_words_all(spark, sf_dir):
-    """distinct_words over every row, whatever its lang, with letters of any script; a null text has no words."""
+def distinct_words(spark, sf_dir):
+    """Distinct words of every text, as the fingerprint's token sets have them (F7), in letters of any script; a null text has none."""
     w = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda x: x != ""))
     return table(spark, sf_dir, "documents").select(F.size(w).cast("long").alias("words")).groupBy("words").agg(F.count("*").alias("documents"))
 
