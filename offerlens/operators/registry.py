@@ -15,6 +15,8 @@ ALPHA = 0.3
 LEAST_HOURS, MOST_HOURS = 1.0, 168.0
 CHANGE_WEIGHT, DENSITY_WEIGHT = 166.0, 1.0
 PARK_AFTER = 2
+STRATEGY_DAYS, STRATEGY_FAILURES, MOST_STRATEGIES = 7, 3, 500
+MEMO_HOURS = 12
 
 
 def due(registry: DataFrame, now: Column | int, cap: int | None = 5) -> DataFrame:
@@ -91,6 +93,8 @@ def fold_checks(checks: DataFrame) -> DataFrame:
 
     kind is ok, miss or blocked; a blocked check changes nothing. The moving averages follow their closed form
     over the numbered checks, so a record is a window and an aggregate, not a loop. A record is one page.
+    With a column productCount its average is told too; with firstScore (the score a record was found with, at
+    most 1) the final score, which every success draws towards 1 and nothing lowers.
     """
     w = Window.partitionBy("record_id").orderBy("ts", "event_id")
     back = Window.partitionBy("record_id").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -101,6 +105,12 @@ def fold_checks(checks: DataFrame) -> DataFrame:
     decay = F.pow(F.lit(1 - ALPHA), F.col("later"))
     # the very first check takes its sample whole; after a first miss the average starts from 0
     own = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.lit(ALPHA))
+    more = []
+    if "productCount" in checks.columns:
+        more.append(F.coalesce(F.sum(F.when(ok, own * F.col("productCount") * decay)), F.lit(0.0)).alias("avgProductCount"))
+    if "firstScore" in checks.columns:
+        first = F.min_by("firstScore", "n")
+        more.append((F.lit(1.0) - (F.lit(1.0) - first) * F.pow(F.lit(1 - ALPHA), F.count_if(ok))).alias("finalScore"))
     return rows.groupBy("record_id").agg(
         F.count("*").alias("checkCount"),
         F.count_if(ok).alias("successCount"),
@@ -110,6 +120,7 @@ def fold_checks(checks: DataFrame) -> DataFrame:
         F.max("ts").alias("lastCheckAt"),
         F.max(F.when(ok, F.col("ts"))).alias("lastVerifiedAt"),
         F.array_sort(F.collect_set(F.when(ok, F.month("ts")))).alias("seasonHint"),
+        *more,
     ).withColumn("status", F.when(F.col("consecutiveMisses") >= PARK_AFTER, "parked").when(F.col("consecutiveMisses") == 0, "active").when(F.col("successCount") > 0, "stale").otherwise("candidate"))
 
 
@@ -138,6 +149,87 @@ def import_records(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(others).unionByName(fresh)
 
 
+def import_counts(registry: DataFrame, incoming: DataFrame) -> DataFrame:
+    """of the ids of an import, how many the registry takes and how many its pinned and excluded records keep out."""
+    kept = registry.where(F.col("status").isin("pinned", "excluded")).select("id", F.lit(True).alias("kept_"))
+    ids = incoming.select("id").distinct().join(kept, "id", "left")
+    return ids.agg(F.count_if(F.col("kept_").isNull()).alias("added"), F.count("kept_").alias("skipped"))
+
+
+def patch(registry: DataFrame, updates: DataFrame, now: Column | int, jitter: Column | float = 1.0) -> DataFrame:
+    """A user's changes (id, ord, status, label, notes, nextCheckAt; null leaves a field as it is).
+
+    An excluded record is never due, a re-activated one is due by its own cadence, and a time given by the user
+    goes before both but the first. Of several changes of an id the last counts; ids without a record and
+    statuses other than pinned, excluded and active do nothing.
+    """
+    now = F.lit(now) if isinstance(now, int) else now
+    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ord")))
+    fields = ("status", "label", "notes", "nextCheckAt")
+    u = updates.withColumn("n_", last).where("n_ = 1").select("id", *(F.col(c).alias(f"u_{c}") for c in fields))
+    u = u.withColumn("u_status", F.when(F.col("u_status").isin("pinned", "excluded", "active"), F.col("u_status")))
+    cadence = next_check(F.lit("active"), F.col("revisitAfter"), F.col("changeRate"), F.col("dealDensity"), now, jitter)
+    at = F.when(F.col("u_status") == "excluded", F.lit(NEVER)).otherwise(F.coalesce("u_nextCheckAt", F.when(F.col("u_status") == "active", cadence), "nextCheckAt"))
+    new = {
+        "status": F.coalesce("u_status", "status"),
+        "userPinned": F.when(F.col("u_status").isNotNull(), F.col("u_status") == "pinned").otherwise(F.col("userPinned")),
+        "label": F.coalesce("u_label", "label"),
+        "notes": F.coalesce("u_notes", "notes"),
+        "nextCheckAt": at,
+    }
+    return registry.join(u, "id", "left").select(*(new[c].alias(c) if c in new else c for c in registry.columns))
+
+
+def remove(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """Without these records; unlike an exclusion this is not remembered."""
+    return registry.join(ids.select("id"), "id", "left_anti").select(*registry.columns)
+
+
+def backoff(registry: DataFrame, blocked: DataFrame, pause_ms: int = HOUR) -> DataFrame:
+    """Records blocked at some time (id, at) are not due before a pause has gone by; nothing else changes."""
+    until = blocked.groupBy("id").agg((F.max("at") + pause_ms).alias("until_"))
+    at = F.greatest("nextCheckAt", "until_")  # greatest passes over null
+    return registry.join(until, "id", "left").select(*(at.alias(c) if c == "nextCheckAt" else c for c in registry.columns))
+
+
+def strategies(outcomes: DataFrame, cap: int = MOST_STRATEGIES) -> DataFrame:
+    """The strategy that each host is left with after its outcomes (host, ts, event_id, outcome, quality).
+
+    A success keeps or creates it, blocks do not count, three failures in a row end it, and one does if the last
+    success is more than a week old. Count and best quality begin anew after an end. The cap keeps the hosts of
+    the latest successes, looked at once, at the end.
+    """
+    w = Window.partitionBy("host").orderBy("ts", "event_id")
+    ok = F.col("outcome") == "success"
+    rows = outcomes.where(F.col("outcome").isin("success", "failure")).withColumn("island", F.sum(F.when(ok, 1).otherwise(0)).over(w)).where("island > 0")
+    age = F.unix_micros(F.max(F.when(~ok, F.col("ts"))).cast("timestamp")) - F.unix_micros(F.max(F.when(ok, F.col("ts"))).cast("timestamp"))
+    g = rows.groupBy("host", "island").agg(
+        F.count_if(~ok).alias("failures"), F.max(F.when(ok, F.col("ts"))).alias("success"), F.max(F.when(ok, F.col("quality"))).alias("quality"), F.coalesce(age > STRATEGY_DAYS * DAY * 1000, F.lit(False)).alias("old")
+    )
+    ended = F.col("old") | (F.col("failures") >= STRATEGY_FAILURES)
+    by = Window.partitionBy("host").orderBy("island")
+    g = g.withColumn("ended", ended).withColumn("era", F.sum(F.coalesce(F.lag(ended.cast("int")).over(by), F.lit(0))).over(by))
+    last = g.groupBy("host", "era").agg(F.count("*").alias("successCount"), F.max("quality").alias("bestQuality"), F.max_by(F.struct("failures", "success", "ended"), "island").alias("l"))
+    last = last.groupBy("host").agg(F.max_by(F.struct("successCount", "bestQuality", "l"), "era").alias("e")).where("not e.l.ended")
+    rows = last.select("host", "e.successCount", "e.bestQuality", F.col("e.l.failures").alias("failures"), F.col("e.l.success").alias("lastSuccess"))
+    return rows.orderBy(F.desc("lastSuccess"), "host").limit(cap)
+
+
+def fold_memos(runs: DataFrame) -> DataFrame:
+    """What the discovery runs (domain, at, ord, platform, negativePaths) of a domain leave known: the last
+    platform told, the time of the last run, and all paths that ever answered with nothing."""
+    told = runs.where("platform is not null").groupBy("domain").agg(F.max_by("platform", F.struct("at", "ord")).alias("platform"))
+    paths = runs.select("domain", F.explode("negativePaths").alias("p")).groupBy("domain").agg(F.array_sort(F.collect_set("p")).alias("negativePaths"))
+    rows = runs.groupBy("domain").agg(F.max("at").alias("lastDiscoveryAt")).join(told, "domain", "left").join(paths, "domain", "left")
+    return rows.select("domain", "platform", F.coalesce("negativePaths", F.array().cast("array<string>")).alias("negativePaths"), "lastDiscoveryAt")
+
+
+def fresh_memos(memos: DataFrame, now: Column | int, hours: int = MEMO_HOURS) -> DataFrame:
+    """The memos that a run may still use."""
+    now = F.lit(now) if isinstance(now, int) else now
+    return memos.where(now - F.col("lastDiscoveryAt") <= hours * HOUR)
+
+
 def csv_lines(registry: DataFrame) -> DataFrame:
     """The export's lines: only the label is quoted, density has three decimals, null is empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

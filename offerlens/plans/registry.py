@@ -183,23 +183,85 @@ def stream_latest_status(spark, sf_dir):
     return refresh.latest_once(spark, sf_dir)
 
 
-_ATT = """s AS (SELECT user_id AS host, event_id, ts, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'signup' THEN 'blocked' ELSE 'success' END AS outcome FROM events)"""
+_ATT = """s AS (SELECT user_id AS host, event_id, ts, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'signup' THEN 'blocked' ELSE 'success' END AS outcome, CAST(json_extract_string(props, '$.k') AS DOUBLE) / CAST(100 AS DOUBLE) AS quality FROM events)"""
 
 
 @query(
     f"""WITH {_ATT}, i AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY ts, event_id) AS island FROM s WHERE outcome <> 'blocked'),
-  g AS (SELECT host, island, count(*) FILTER (outcome = 'failure') AS failures, max(ts) FILTER (outcome = 'success') AS success FROM i GROUP BY ALL) SELECT host, arg_max(failures, island) AS failures, arg_max(success, island) AS lastSuccess FROM g WHERE island > 0 GROUP BY host HAVING arg_max(failures, island) < 3"""
+  g AS (SELECT host, island, count(*) FILTER (outcome = 'failure') AS failures, max(ts) FILTER (outcome = 'success') AS success, max(quality) FILTER (outcome = 'success') AS quality, coalesce(bool_or(outcome = 'failure' AND ts - start > INTERVAL 7 DAY), false) AS late
+    FROM (SELECT *, max(CASE WHEN outcome = 'success' THEN ts END) OVER (PARTITION BY host, island) AS start FROM i WHERE island > 0) GROUP BY ALL),
+  b AS (SELECT host, max(island) FILTER (failures >= 3 OR late) AS ended, max(island) AS last FROM g GROUP BY host)
+  SELECT host, count(*) AS successCount, max(quality) AS bestQuality, arg_max(failures, island) AS failures, max(success) AS lastSuccess FROM g JOIN b USING (host) WHERE island > coalesce(ended, 0) AND coalesce(ended, 0) < last GROUP BY host ORDER BY lastSuccess DESC, host LIMIT 500"""
 )
 def strategy_cache(spark, sf_dir):
-    """A host's strategy lives from its last success until three failures; blocks do not count."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), "event_id", "ts", F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "blocked").otherwise("success").alias("outcome"))
-    return strategies(e)
-
-
-def strategies(outcomes):
-    w = Window.partitionBy("host").orderBy("ts", "event_id")
-    ok = F.col("outcome") == "success"
-    i = outcomes.where("outcome <> 'blocked'").withColumn("island", F.sum(F.when(ok, 1).otherwise(0)).over(w))
-    g = i.groupBy("host", "island").agg(F.count_if(~ok).alias("failures"), F.max(F.when(ok, F.col("ts"))).alias("success"))
-    last = g.where("island > 0").groupBy("host").agg(F.max_by("failures", "island").alias("failures"), F.max_by("success", "island").alias("lastSuccess"))
-    return last.where("failures < 3")
+    """A host's strategy lives from a success until three failures, or one after a week; blocks do not count."""
+    outcome = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "blocked").otherwise("success")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), "event_id", "ts", outcome.alias("outcome"), (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("quality"))
+    return R.strategies(e)
+
+
+_HOURS = "least(greatest(CAST(168 AS DOUBLE) / (CAST(1 AS DOUBLE) + CAST(166 AS DOUBLE) * (CAST(ok AS DOUBLE) / n / CAST(7 AS DOUBLE)) + CAST(ok AS DOUBLE) / n), CAST(1 AS DOUBLE)), CAST(168 AS DOUBLE))"
+
+
+@query(
+    f"""WITH {_REG}, r AS (SELECT reg.*, e.user_id AS u, n, ok FROM reg JOIN e ON reg.id = 'r' || e.user_id), p AS (SELECT *, CASE WHEN u % 4 = 1 THEN 'pinned' WHEN u % 4 = 2 THEN 'excluded' WHEN u % 4 = 3 THEN 'active' END AS us,
+    CASE WHEN u % 5 = 0 THEN 'renamed' END AS ul, CASE WHEN u % 9 = 0 THEN CAST({NOW} AS BIGINT) + u END AS un FROM r)
+  SELECT id, coalesce(us, status) AS status, CASE WHEN us IS NULL THEN status = 'pinned' ELSE us = 'pinned' END AS userPinned, coalesce(ul, label) AS label, CASE WHEN u % 6 = 0 THEN 'note' END AS notes,
+    CASE WHEN us = 'excluded' THEN CAST(9007199254740991 AS BIGINT) WHEN un IS NOT NULL THEN un WHEN us = 'active' THEN CAST({NOW} AS BIGINT) + CAST(floor({_HOURS} * CAST(1 AS DOUBLE) * 3600000 + CAST(0.5 AS DOUBLE)) AS BIGINT) ELSE nextCheckAt END AS nextCheckAt FROM p"""
+)
+def registry_patch(spark, sf_dir):
+    """A user's change of every record, an overruled change of every eighth, and one of no record."""
+    r = _registry(spark, sf_dir).withColumn("changeRate", F.col("dealDensity") / 7.0).withColumn("userPinned", F.col("status") == "pinned").withColumn("notes", F.lit(None).cast("string"))
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    k = F.col("user_id")
+    id_ = F.concat(F.lit("r"), k).alias("id")
+    told = u.select(id_, F.lit(2).alias("ord"), F.when(k % 4 == 1, "pinned").when(k % 4 == 2, "excluded").when(k % 4 == 3, "active").when(k % 8 == 0, "candidate").alias("status"), F.when(k % 5 == 0, "renamed").alias("label"), F.when(k % 6 == 0, "note").alias("notes"), F.when(k % 9 == 0, F.lit(NOW) + k).alias("nextCheckAt"))
+    old = u.where("user_id % 8 = 1").select(id_, F.lit(1).alias("ord"), F.lit("excluded").alias("status"), F.lit("overruled").alias("label"), F.lit("overruled").alias("notes"), F.lit(1).cast("long").alias("nextCheckAt"))
+    none = told.limit(1).withColumn("id", F.lit("absent"))
+    return R.patch(r, told.unionByName(old).unionByName(none), NOW).select("id", "status", "userPinned", "label", "notes", "nextCheckAt")
+
+
+@query(
+    f"""WITH {_REG}, {CHECKS_SQL}, b AS (SELECT 'r' || record_id AS id, max(epoch_us(ts) // 1000) + {NOW} - 1704067200000 + 3600000 AS until FROM checks WHERE kind = 'blocked' GROUP BY record_id)
+  SELECT reg.id, greatest(nextCheckAt, coalesce(until, 0)) AS nextCheckAt FROM reg LEFT JOIN b USING (id) WHERE status <> 'excluded'"""
+)
+def registry_backoff(spark, sf_dir):
+    """Blocked checks, moved to the registry's clock, put records off; excluded records are removed."""
+    r = _registry(spark, sf_dir)
+    at = F.unix_millis(F.col("ts").cast("timestamp")) + NOW - 1_704_067_200_000
+    b = checks(spark, sf_dir).where("kind = 'blocked'").select(F.concat(F.lit("r"), "record_id").alias("id"), at.alias("at"))
+    return R.remove(R.backoff(r, b), r.where("status = 'excluded'")).select("id", "nextCheckAt")
+
+
+@query(
+    f"""WITH {_FOLD}, a AS (SELECT record_id, arg_min(event_id % 100 / CAST(100 AS DOUBLE), n) AS first, count(*) FILTER (kind = 'ok') AS oks,
+    coalesce(sum(CASE WHEN kind = 'ok' THEN (CASE WHEN n = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END) * (event_id % 40) * pow(CAST(0.7 AS DOUBLE), back - 1) END), 0) AS products FROM m GROUP BY record_id)
+  SELECT record_id, {_NINE.format("products")} AS avgProductCount, {_NINE.format("(1 - (1 - first) * pow(CAST(0.7 AS DOUBLE), oks))")} AS finalScore FROM a"""
+)
+def registry_averages(spark, sf_dir):
+    """average product count and final score; both are made from the event's number."""
+    c = checks(spark, sf_dir).withColumn("productCount", F.col("event_id") % 40).withColumn("firstScore", F.col("event_id") % 100 / 100.0)
+    return R.fold_checks(c).select("record_id", _nine("avgProductCount").alias("avgProductCount"), _nine("finalScore").alias("finalScore"))
+
+
+@query(f"""WITH {_REG} SELECT count(*) FILTER (status NOT IN ('pinned', 'excluded')) + 1 AS added, count(*) FILTER (status IN ('pinned', 'excluded')) AS skipped FROM reg""")
+def registry_import_counts(spark, sf_dir):
+    """the registry imported into itself twice over, with one new record."""
+    r = _registry(spark, sf_dir)
+    return R.import_counts(r, r.unionByName(r).unionByName(r.limit(1).withColumn("id", F.lit("new"))))
+
+
+@query(
+    """WITH r AS (SELECT user_id % 50 AS domain, epoch_us(ts) // 1000 AS t, event_id, CASE event_type WHEN 'view' THEN 'shopify' WHEN 'click' THEN 'woocommerce' END AS platform, CASE WHEN event_type = 'error' THEN '/p' || (event_id % 8) END AS path FROM events),
+  m AS (SELECT domain, max(t) AS lastDiscoveryAt, arg_max(platform, struct_pack(a := t, b := event_id)) FILTER (platform IS NOT NULL) AS platform, coalesce(list_aggregate(list_sort(list(DISTINCT path) FILTER (path IS NOT NULL)), 'string_agg', ','), '') AS negativePaths FROM r GROUP BY domain)
+  SELECT domain, platform, negativePaths, lastDiscoveryAt FROM m WHERE (SELECT max(t) FROM r) - lastDiscoveryAt <= 43200000"""
+)
+def discovery_memos(spark, sf_dir):
+    """Events as discovery runs; the memos that are fresh at the time of the last run."""
+    e = table(spark, sf_dir, "events")
+    platform = F.when(F.col("event_type") == "view", "shopify").when(F.col("event_type") == "click", "woocommerce")
+    path = F.when(F.col("event_type") == "error", F.array(F.concat(F.lit("/p"), F.col("event_id") % 8))).otherwise(F.array().cast("array<string>"))
+    runs = e.select((F.col("user_id") % 50).alias("domain"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), platform.alias("platform"), path.alias("negativePaths"))
+    now = runs.agg(F.max("at").alias("now_"))
+    m = R.fresh_memos(R.fold_memos(runs).join(F.broadcast(now)), F.col("now_"))
+    return m.select("domain", "platform", F.array_join("negativePaths", ",").alias("negativePaths"), "lastDiscoveryAt")
