@@ -10,7 +10,10 @@ from offerlens.functions import page as G
 from offerlens.functions import url as U
 
 LOC, LASTMOD = r"(?i)<loc>\s*([^<]+?)\s*</loc>", r"(?i)<lastmod>\s*([^<]+?)\s*</lastmod>"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 MOST_ENTRIES = 20_000
+MOST_SITEMAPS, SITEMAP_CHARS = 4, 5 * 1024 * 1024
+MOST_PROBES = 8
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -48,16 +51,24 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     return rows.select("url", "kind", "ord", text.alias("loc"), F.nullif(F.regexp_extract("b", LASTMOD, 1), F.lit("")).alias("lastmod")).where("loc <> ''")
 
 
-def walk_sitemaps(roots: DataFrame, docs: DataFrame, rounds: int = 4) -> DataFrame:
-    """A10: pages listed below the roots (site, url): children of indexes, round by round, product maps left out."""
-    parsed = parse_sitemaps(docs)
-    now, found = roots.select("site", "url"), None
-    for _ in range(rounds):
-        rows = now.join(parsed, "url")
-        listed = rows.where("kind = 'urlset'").select("site", "loc", "lastmod")
-        found = listed if found is None else found.unionByName(listed)
-        now = rows.where((F.col("kind") == "index") & ~F.lower(U.path("loc")).rlike("product|item|sku|catalog")).select("site", F.col("loc").alias("url")).distinct()
-    return found.distinct()
+def walk_sitemaps(roots: DataFrame, docs: DataFrame, most: int = MOST_SITEMAPS) -> DataFrame:
+    """A10: (site, place, ord, loc, lastmod) of the pages listed below the roots (site, url, ord).
+
+    Documents are read breadth first, `most` of them a site, a missing or repeated one included; product maps are
+    not followed, and a document ends after 5 M characters. place is the document's place in that order.
+    """
+    parsed = parse_sitemaps(docs.withColumn("xml", F.substring("xml", 1, SITEMAP_CHARS)))
+    index = parsed.where((F.col("kind") == "index") & ~F.lower(U.path("loc")).rlike("product|item|sku|catalog")).select("url", "ord", "loc")
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("ord", "url"))
+    now = roots.select("site", "url", nth.alias("place")).where(F.col("place") <= most)
+    visited = now
+    for _ in range(most - 1):  # a level takes a place at least
+        after = now.groupBy("site").agg(F.max("place").alias("after"))
+        nth = F.row_number().over(Window.partitionBy("site").orderBy("place", "ord"))
+        below = now.join(index, "url").join(after, "site").select("site", F.col("loc").alias("url"), (F.col("after") + nth).alias("place"))
+        now = below.where(F.col("place") <= most)
+        visited = visited.unionByName(now)
+    return visited.join(parsed.where("kind = 'urlset'"), "url").select("site", "place", "ord", "loc", "lastmod")
 
 
 def page_chains(starts: DataFrame, nexts: DataFrame, most: int = 5) -> DataFrame:
@@ -70,11 +81,25 @@ def page_chains(starts: DataFrame, nexts: DataFrame, most: int = 5) -> DataFrame
     return out.select("start", "n", "url")
 
 
-def probes(homes: DataFrame, known: DataFrame) -> DataFrame:
-    """(site, url) of the conventional paths of each home's platform that are not known yet."""
-    paths = homes.select("site", F.explode(G.probe_paths(F.coalesce("platform", F.lit("unknown")))).alias("p"), "origin")
-    urls = paths.select("site", U.canonicalize(F.concat("origin", "p")).alias("url")).where("url is not null").distinct()
-    return urls.join(known.select("site", "url"), ["site", "url"], "left_anti")
+def probes(homes: DataFrame, known: DataFrame, most: int = MOST_PROBES) -> DataFrame:
+    """(site, url, path, ord) of the first conventional paths of each home's platform that are not known yet."""
+    paths = homes.select("site", F.posexplode(G.probe_paths(F.coalesce("platform", F.lit("unknown")))).alias("ord", "path"), "origin")
+    urls = paths.select("site", U.canonicalize(F.concat("origin", "path")).alias("url"), "path", "ord").where("url is not null")
+    urls = urls.groupBy("site", "url").agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord"))
+    urls = urls.join(known.select("site", "url"), ["site", "url"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("ord"))
+    return urls.withColumn("n_", nth).where(F.col("n_") <= most).drop("n_")
+
+
+def judge_probes(probed: DataFrame, answers: DataFrame, homes: DataFrame) -> DataFrame:
+    """Probes (site, url, path) with `hit`: answered (url, html), and not with the title of the home (site, html),
+    which many shops serve for paths they do not know. The paths that miss are the site's negative paths."""
+    title = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(c, TITLE, 1), r"^\s+|\s+$", ""), F.lit(""))
+    home = homes.groupBy("site").agg(title(F.max("html")).alias("home_"))
+    got = answers.groupBy("url").agg(F.max("html").alias("html_"))
+    rows = probed.join(got, "url", "left").join(home, "site", "left")
+    soft = F.coalesce(title(F.col("html_")) == F.col("home_"), F.lit(False))
+    return rows.withColumn("hit", F.col("html_").isNotNull() & ~soft).select(*probed.columns, "hit")
 
 
 def host_schedule(requests: DataFrame, gap_ms: int = 1000) -> DataFrame:

@@ -14,19 +14,21 @@ MOST_CANDIDATES, MOST_CHECKS, MOST_SELECTED = 120, 6, 3
 HUB_PRODUCTS, HUB_LEAST, HUB_LINKS, HUB_MOST, HUB_DECAY = 8, 0.6, 3, 9, 0.7
 ENOUGH_PRIOR, ENOUGH_COUNT, DEMOTED_CAP = 0.55, 4, 0.49
 FALLBACK_TRIES = 3
+SITEMAP_PRIOR, MOST_SITEMAP_PAGES = 0.4, 200
+MOST_FETCHES, SAME_LISTING = 20, 0.8
 
 
-def intake(raw: DataFrame, root: Column, month: Column | int, excluded: DataFrame | None = None, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+def intake(raw: DataFrame, root: Column, month: Column | int, excluded: DataFrame | None = None, include: list[str] = (), exclude: list[str] = (), now_ms: Column | None = None) -> DataFrame:
     """Raw candidates (site, url, source, anchorText, titleText) of one site with prior and reject.
 
-    Other sites' pages and excluded ones go silently; a user's exclusion is a visible reject, a user's
+    With a column lastmodMs and a time, pages changed of late gain. Other sites' pages and excluded ones go silently; a user's exclusion is a visible reject, a user's
     inclusion has prior 1 and source user.
     """
     rows = raw.where(U.same_site(F.col("url"), root))
     if excluded is not None:
         rows = rows.join(excluded.select("url").distinct(), "url", "left_anti")
     pinned, banned = U.first_pattern(list(include), "url"), U.first_pattern(list(exclude), "url")
-    p = G.candidate_prior(F.col("url"), F.col("source"), F.col("anchorText"), F.col("titleText"), month)
+    p = G.candidate_prior(F.col("url"), F.col("source"), F.col("anchorText"), F.col("titleText"), month, F.col("lastmodMs") if "lastmodMs" in raw.columns else None, now_ms)
     return rows.withColumn("p_", p).withColumn("pin_", pinned).withColumn("ban_", banned).select(
         *(c for c in rows.columns if c != "source"),
         F.when(F.col("pin_").isNotNull() & F.col("ban_").isNull(), "user").otherwise(F.col("source")).alias("source"),
@@ -42,13 +44,26 @@ def best_candidates(scored: DataFrame, cap: int = MOST_CANDIDATES) -> DataFrame:
     return best.withColumn("n_", nth).where(F.col("n_") <= cap).select("site", "url", "ord", "b.source", "b.prior")
 
 
-def enough(candidates: DataFrame) -> DataFrame:
-    """H4: sites whose strong candidates suffice, so that later tiers are not asked."""
-    return candidates.groupBy("site").agg((F.count_if(F.col("prior") >= ENOUGH_PRIOR) >= ENOUGH_COUNT).alias("enough"))
+def sitemap_pages(scored: DataFrame, most: int = MOST_SITEMAP_PAGES) -> DataFrame:
+    """Of the pages listed in sitemaps (site, place, ord, prior, reject) those with keywords, the first of a site."""
+    rows = scored.where(F.col("reject").isNull() & (F.col("prior") > SITEMAP_PRIOR))
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("place", "ord"))
+    return rows.withColumn("n_", nth).where(F.col("n_") <= most).drop("n_")
+
+
+def by_tier(scored: DataFrame) -> DataFrame:
+    """Scored candidates (site, url, tier, prior, reject) without the tiers that are not asked: tier 0 is
+    free, a later one is asked only of sites whose earlier tiers gave fewer than four strong candidates."""
+    strong = scored.where(F.col("reject").isNull() & (F.col("prior") >= ENOUGH_PRIOR)).groupBy("site", "url").agg(F.min("tier").alias("tier"))
+    counts = strong.groupBy("site", "tier").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("site").orderBy("tier"))
+    full = counts.withColumn("so_far", so_far).where(F.col("so_far") >= ENOUGH_COUNT).groupBy("site").agg(F.min("tier").alias("full_"))
+    return scored.join(full, "site", "left").where(F.col("full_").isNull() | (F.col("tier") <= F.col("full_"))).select(*scored.columns)
 
 
 def _walk(site: str, cands: pd.DataFrame, checks: pd.DataFrame, links: pd.DataFrame) -> list[tuple]:
-    """Pop by prior, check, take in a small hub's links, rank, fall back."""
+    """Pop by prior, check within the budget, take in a small hub's links, collapse listings of the
+    same products, rank, fall back."""
     known = {r.url: r for r in checks.itertuples()}
     below: dict[str, list] = {}
     for r in links.sort_values(["prior", "ord"], ascending=[False, True], kind="stable").itertuples():
@@ -57,7 +72,8 @@ def _walk(site: str, cands: pd.DataFrame, checks: pd.DataFrame, links: pd.DataFr
     frontier = [(r.url, r.source, float(r.prior), 0) for r in cands.sort_values(["ord", "url"]).itertuples()]
     seen = {u for u, *_ in frontier}
     done: list[dict] = []
-    while frontier and len(done) < MOST_CHECKS:
+    spent = 0 if cands["spent"].isna().all() else int(cands["spent"].max())
+    while frontier and len(done) < MOST_CHECKS and spent + len(done) < MOST_FETCHES:
         k = max(range(len(frontier)), key=lambda i: (frontier[i][2], -i))
         url, source, prior, depth = frontier.pop(k)
         c = known.get(url)
@@ -78,7 +94,17 @@ def _walk(site: str, cands: pd.DataFrame, checks: pd.DataFrame, links: pd.DataFr
                 for r in fresh[:HUB_MOST]:
                     seen.add(r.url)
                     frontier.append((r.url, "expanded", float(r.prior) * HUB_DECAY, depth + 1))
-    ranked = sorted((d for d in done if d["reason"] in (None, "demoted")), key=lambda d: -(d["final"] or 0))[:MOST_SELECTED]
+    ranked: list[dict] = []
+    kept: list[tuple[str, set]] = []
+    for d in sorted((d for d in done if d["reason"] in (None, "demoted")), key=lambda d: -(d["final"] or 0)):
+        titles = set(known[d["url"]].titles if known[d["url"]].titles is not None else ())
+        same = next((u for u, t in kept if t and titles and len(t & titles) / len(t | titles) >= SAME_LISTING), None)
+        if same is not None:
+            d["reason"] = f"duplicate-of:{same}"
+            continue
+        kept.append((d["url"], titles))
+        ranked.append(d)
+    ranked = ranked[:MOST_SELECTED]
     if not ranked:  # the strongest unchecked regions, flagged
         order = {"nav": 0, "hero": 1, "body": 2, "footer": 3}
         pool = sorted((f for f in frontier if f[1] in order), key=lambda f: (order[f[1]], -f[2]))
@@ -96,20 +122,26 @@ SELECTED = "site string, url string, source string, prior double, finalScore dou
 
 
 def select_pages(candidates: DataFrame, checks: DataFrame, links: DataFrame) -> DataFrame:
-    """Which pages of each site list deals.
+    """Which pages of each site list deals.
 
-    candidates: site, url, ord, source, prior (at most MOST_CANDIDATES a site). checks: site, url, productCount,
-    density, quality, countdown, reason (blocked or null). links: site, hub, url, ord, prior. The walk is
-    sequential within a site and independent across sites; only pages a walk could reach are handed to it.
+    candidates: site, url, ord, source, prior (at most MOST_CANDIDATES a site), and spent, if given: the fetches a
+    site's earlier tiers took of its MOST_FETCHES. checks: site, url, productCount, density, quality, countdown,
+    reason (blocked or null), and titles, if given: the fingerprint titles of its products, at most 60. links:
+    site, hub, url, ord, prior. The walk is sequential within a site and independent across sites; only pages a
+    walk could reach are handed to it.
     """
+    if "titles" not in checks.columns:
+        checks = checks.withColumn("titles", F.lit(None).cast("array<string>"))
+    if "spent" not in candidates.columns:
+        candidates = candidates.withColumn("spent", F.lit(0))
     reach = candidates.select("site", "url").unionByName(links.select("site", "url")).distinct()
     checks = checks.join(reach, ["site", "url"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("site", "hub").orderBy(F.desc("prior"), "ord"))
     links = links.where(F.col("prior") >= HUB_LEAST).withColumn("n_", nth).where(F.col("n_") <= HUB_MOST + MOST_CANDIDATES).drop("n_")
     none = lambda t: F.lit(None).cast(t)
     rows = (
-        candidates.select("site", F.lit("c").alias("k"), "url", "ord", "source", "prior", none("string").alias("hub"), none("long").alias("productCount"), none("double").alias("density"), none("double").alias("quality"), none("boolean").alias("countdown"), none("string").alias("reason"))
-        .unionByName(checks.select("site", F.lit("v").alias("k"), "url", "productCount", "density", "quality", "countdown", "reason"), allowMissingColumns=True)
+        candidates.select("site", F.lit("c").alias("k"), "url", "ord", "source", "prior", none("string").alias("hub"), none("long").alias("productCount"), none("double").alias("density"), none("double").alias("quality"), none("boolean").alias("countdown"), none("string").alias("reason"), none("array<string>").alias("titles"), "spent")
+        .unionByName(checks.select("site", F.lit("v").alias("k"), "url", "productCount", "density", "quality", "countdown", "reason", "titles"), allowMissingColumns=True)
         .unionByName(links.select("site", F.lit("l").alias("k"), "hub", "url", "ord", "prior"), allowMissingColumns=True)
     )
 
@@ -122,17 +154,19 @@ def select_pages(candidates: DataFrame, checks: DataFrame, links: DataFrame) ->
 
 
 def warm_start(saved: DataFrame, checks: DataFrame, now: int, pins: DataFrame | None = None) -> DataFrame:
-    """Whether a site's saved pages still answer: most alive and every pin among them.
+    """Whether a site's saved pages still answer: at least half of the first six, and every pin saved.
 
-    saved: site, url, status, nextCheckAt, fingerprint. checks: url, reason, fingerprint.
+    saved: site, url, status, nextCheckAt, fingerprint. checks: url, reason, fingerprint. pins: site, url.
     """
     s = saved.where(F.col("status").isin("pinned", "active") | ((F.col("status") == "stale") & (F.col("nextCheckAt") <= now)))
+    s = s.withColumn("n_", F.row_number().over(Window.partitionBy("site").orderBy(F.coalesce("nextCheckAt", F.lit(0)), "url")))
     c = checks.select("url", "reason", F.col("fingerprint").alias("new_"))
-    rows = s.join(c, "url", "left").withColumn("alive", F.col("new_").isNotNull() & F.col("reason").isNull()).withColumn("changed", ~F.col("fingerprint").eqNullSafe(F.col("new_")))
-    out = rows.groupBy("site").agg(F.count("*").alias("saved"), F.count_if("alive").alias("alive"), F.count_if(F.col("alive") & F.col("changed")).alias("changed"))
+    first = F.col("n_") <= MOST_CHECKS
+    rows = s.join(c, "url", "left").withColumn("alive", first & F.col("new_").isNotNull() & F.col("reason").isNull()).withColumn("changed", ~F.col("fingerprint").eqNullSafe(F.col("new_")))
+    out = rows.groupBy("site").agg(F.count("*").alias("saved"), F.count_if(first).alias("checked"), F.count_if("alive").alias("alive"), F.count_if(F.col("alive") & F.col("changed")).alias("changed"))
     missing = pins.join(s.select("site", "url"), ["site", "url"], "left_anti").groupBy("site").agg(F.count("*").alias("missing")) if pins is not None else None
     out = out.join(missing, "site", "left") if missing is not None else out.withColumn("missing", F.lit(0))
-    return out.select("site", "saved", "alive", "changed", ((F.col("alive") * 2 > F.col("saved")) & (F.coalesce("missing", F.lit(0)) == 0)).alias("warm"))
+    return out.select("site", "saved", "checked", "alive", "changed", ((F.col("alive") > 0) & (F.col("alive") * 2 >= F.col("checked")) & (F.coalesce("missing", F.lit(0)) == 0)).alias("warm"))
 
 
 def precision_at(selected: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:

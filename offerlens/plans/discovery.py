@@ -73,16 +73,18 @@ def duplicate_listing_collapse(spark, sf_dir):
 
 @query()
 def discovery_selection(spark, sf_dir):
-    """J12-J19 over all sites of the pages table: harvested links, probes, made checks, the walk of each site."""
+    """J12-J19 over all sites of the pages table: harvested links, probes where the links do not suffice, made
+    checks, the walk of each site with the listings of the same titles collapsed."""
     pages = table(spark, sf_dir, "pages").withColumn("site", U.host("url"))
     links = harvest(pages, ["site"])
     scored = D.intake(links.withColumn("root", F.concat(F.lit("https://"), "site", F.lit("/"))), F.col("root"), 11, exclude=["/was"], include=["/the"])
     cands = D.best_candidates(scored).persist()  # used by probes, checks, hubs and the walk
     homes = pages.groupBy("site").agg(F.min(F.regexp_extract("url", "^(https?://[^/?#]+)", 1)).alias("origin"), F.max(G.platform("html")).alias("platform"))
-    probed = crawl.probes(homes, cands).withColumn("ord", F.lit(10_000)).withColumn("source", F.lit("probe")).withColumn("prior", F.lit(0.5))
-    cands = cands.unionByName(probed.select(*cands.columns)).persist()  # platforms are told once
+    probed = crawl.probes(homes, cands).withColumn("ord", F.lit(10_000) + F.col("ord")).withColumn("source", F.lit("probe")).withColumn("prior", F.lit(0.5))
+    tiers = cands.withColumn("tier", F.lit(0)).unionByName(probed.select(*cands.columns, F.lit(3).alias("tier"))).withColumn("reject", F.lit(None).cast("string"))
+    cands = D.by_tier(tiers).select(*cands.columns).persist()  # platforms are told once
     h = F.pmod(F.xxhash64("url"), F.lit(100))
-    checks = cands.select("site", "url", (h % 50).alias("productCount"), (h / 100.0).alias("density"), (F.pmod(h * 7, F.lit(100)) / 100.0).alias("quality"), (h % 9 == 0).alias("countdown"), F.when(h % 23 == 0, "blocked:captcha").alias("reason"))
+    checks = cands.select("site", "url", (h % 50).alias("productCount"), (h / 100.0).alias("density"), (F.pmod(h * 7, F.lit(100)) / 100.0).alias("quality"), (h % 9 == 0).alias("countdown"), F.when(h % 23 == 0, "blocked:captcha").alias("reason"), F.transform(F.sequence(F.lit(0), h % 20), lambda i: F.concat(F.lit("t"), i)).alias("titles"))
     hubs = cands.alias("a").join(cands.alias("b"), "site").where("a.url <> b.url AND b.ord BETWEEN a.ord + 1 AND a.ord + 12").select("site", F.col("a.url").alias("hub"), F.col("b.url").alias("url"), F.col("b.ord").alias("ord"), F.lit(0.7).alias("prior"))
     return D.select_pages(cands, checks, hubs)
 
@@ -103,18 +105,50 @@ def precision_at_5(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT 'd' || (user_id % 20) AS site, user_id, CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'pinned' WHEN 2 THEN 'stale' ELSE 'parked' END AS status, count(*) AS n FROM events GROUP BY user_id),
-  r AS (SELECT site, user_id % 3 > 0 AS alive, user_id % 2 = 0 AS changed FROM s WHERE status IN ('active', 'pinned') OR (status = 'stale' AND n <= 70)), a AS (SELECT site, count(*) AS saved, count(*) FILTER (alive) AS alive, count(*) FILTER (alive AND changed) AS changed FROM r GROUP BY site)
-  SELECT site, saved, alive, changed, alive * 2 > saved AS warm FROM a"""
+  v AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n, 'u' || user_id) AS k FROM s WHERE status IN ('active', 'pinned') OR (status = 'stale' AND n <= 70)),
+  r AS (SELECT site, k <= 6 AS checked, k <= 6 AND user_id % 3 > 0 AS alive, user_id % 2 = 0 AS changed FROM v), m AS (SELECT DISTINCT site FROM s WHERE status = 'parked' AND user_id % 11 = 0),
+  a AS (SELECT site, count(*) AS saved, count(*) FILTER (checked) AS checked, count(*) FILTER (alive) AS alive, count(*) FILTER (alive AND changed) AS changed FROM r GROUP BY site)
+  SELECT site, saved, checked, alive, changed, alive > 0 AND alive * 2 >= checked AND site NOT IN (SELECT site FROM m) AS warm FROM a"""
 )
 def warm_start(spark, sf_dir):
-    """J20."""
+    """A user's parked pages of every eleventh number are pinned for this run and not among the saved ones."""
     u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("nextCheckAt"))
     k = F.col("user_id") % 4
     status = F.when(k == 0, "active").when(k == 1, "pinned").when(k == 2, "stale").otherwise("parked")
     url = F.concat(F.lit("u"), "user_id")
     saved = u.select(F.concat(F.lit("d"), F.col("user_id") % 20).alias("site"), url.alias("url"), status.alias("status"), "nextCheckAt", F.lit("f").alias("fingerprint"))
     checks = u.select(url.alias("url"), F.when(F.col("user_id") % 3 == 0, "not-a-listing").alias("reason"), F.when(F.col("user_id") % 2 == 0, "g").otherwise("f").alias("fingerprint"))
-    return D.warm_start(saved, checks, 70)
+    pins = saved.where((F.substring("url", 2, 20).cast("long") % 11 == 0) & (F.col("status") == "parked")).select("site", "url")
+    return D.warm_start(saved, checks, 70, pins)
+
+
+_TIERS = """t AS (SELECT p_brand || '/' || p_size % 5 AS site, p_name || p_partkey % 3 AS url, p_partkey % 4 AS tier, CASE WHEN p_partkey % 13 = 0 THEN 'neg-token:x' END AS reject, (p_partkey % 100) / CAST(100 AS DOUBLE) AS prior FROM part)"""
+
+
+@query(
+    f"""WITH {_TIERS}, s AS (SELECT site, url, min(tier) AS tier FROM t WHERE reject IS NULL AND prior >= 0.55 GROUP BY site, url)
+  SELECT site, tier, count(*) AS candidates FROM t WHERE (SELECT count(*) FROM s WHERE s.site = t.site AND s.tier < t.tier) < 4 GROUP BY site, tier"""
+)
+def discovery_tiers(spark, sf_dir):
+    """The candidates of each tier that is asked; sites, tiers and priors are made from parts."""
+    k = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_size") % 5).alias("site"), F.concat("p_name", k % 3).alias("url"), (k % 4).alias("tier"), F.when(k % 13 == 0, "neg-token:x").alias("reject"), (k % 100 / 100.0).alias("prior"))
+    return D.by_tier(t).groupBy("site", "tier").agg(F.count("*").alias("candidates"))
+
+
+_PROBED = """p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS site, nullif(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g'), '') AS title FROM pages)"""
+
+
+@query(
+    f"""WITH {_PROBED}, h AS (SELECT site, arg_min(title, page_id) AS title FROM p GROUP BY site) SELECT p.page_id, p.page_id % 7 <> 0 AND (p.title IS NULL OR h.title IS NULL OR p.title <> h.title) AS hit FROM p JOIN h USING (site)"""
+)
+def probe_answers(spark, sf_dir):
+    """Every page as a probe of its site, whose first page is the home; every seventh gives no answer."""
+    p = table(spark, sf_dir, "pages").withColumn("site", F.regexp_extract("url", "^https?://([^/?#:]+)", 1))
+    probed = p.select("site", "page_id", F.concat("url", F.lit("#"), "page_id").alias("url"))
+    homes = p.groupBy("site").agg(F.min_by("html", "page_id").alias("html"))
+    answers = p.where("page_id % 7 <> 0").select(F.concat("url", F.lit("#"), "page_id").alias("url"), "html")
+    return crawl.judge_probes(probed, answers, homes).select("page_id", "hit")
 
 
 @query(

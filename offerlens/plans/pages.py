@@ -193,22 +193,33 @@ def offers_of_pages(spark, sf_dir):
     return ladder(p, ["page_id"]).drop("selector")
 
 
-_SITEMAPS = [
-    ("https://a.test/sitemap.xml", "<sitemapindex><sitemap><loc>https://a.test/pages.xml</loc></sitemap><sitemap><loc> https://a.test/products.xml </loc></sitemap></sitemapindex>"),
-    ("https://a.test/pages.xml", "<urlset><url><loc>https://a.test/deals?a=1&amp;b=2</loc><lastmod>2026-09-01</lastmod></url><url><loc>https://a.test/about</loc></url></urlset>"),
-    ("https://a.test/products.xml", "<urlset><url><loc>https://a.test/p/1</loc></url></urlset>"),
-    ("https://b.test/sitemap.xml", "<urlset><url><loc>https://b.test/sale</loc></url><url><loc></loc></url></urlset> broken <"),
-]
+_DOCS = """s AS (SELECT n_nationkey AS k, 'https://n' || n_nationkey || '.test/' AS o FROM nation)"""
 
 
 @query(
-    """SELECT * FROM (VALUES ('a', 'https://a.test/deals?a=1&b=2', '2026-09-01'), ('a', 'https://a.test/about', NULL), ('b', 'https://b.test/sale', NULL)) v(site, loc, lastmod)"""
+    f"""WITH {_DOCS}, c AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 6 ORDER BY c_custkey) - 1 AS ord FROM customer),
+  v AS (SELECT k, o, x.place, x.part FROM s, (VALUES (4, 1)) x(place, part) UNION ALL SELECT k, o, 2, 0 FROM s)
+  SELECT o AS site, CAST(place AS BIGINT) AS place, count(*) AS pages, min(o || 'c/' || c_custkey || '?a=1&b=2') AS first, count(*) FILTER (c_custkey % 4 = 0) AS dated FROM v JOIN c ON c.k = v.k AND c.c_custkey % 6 = v.part GROUP BY o, place"""
 )
 def sitemap_recursive(spark, sf_dir):
-    """A9, A10 over made sitemaps."""
-    docs = spark.createDataFrame(_SITEMAPS, "url string, xml string")
-    roots = spark.createDataFrame([("a", "https://a.test/sitemap.xml"), ("b", "https://b.test/sitemap.xml")], "site string, url string")
-    return crawl.walk_sitemaps(roots, docs)
+    """A site for each nation, whose root index lists part maps of its customers: part 0, part 2 (named
+    as products, not followed), a nested index of parts 3 to 5, part 1, and a part that the four documents leave out.
+
+    Read are the root, part 0, the nested index (place 3, no page of its own) and part 1.
+    """
+    t = lambda name: table(spark, sf_dir, name)
+    origin = F.concat(F.lit("https://n"), F.col("k"), F.lit(".test/"))
+    entry = F.concat(F.lit("<url><loc> "), origin, F.lit("c/"), "c_custkey", F.lit("?a=1&amp;b=2 </loc>"), F.when(F.col("c_custkey") % 4 == 0, "<lastmod>2026-09-01</lastmod>").otherwise(""), F.lit("</url>"))
+    parts = t("customer").withColumn("k", F.col("c_nationkey")).select("k", (F.col("c_custkey") % 6).alias("part"), "c_custkey", entry.alias("e"))
+    parts = parts.groupBy("k", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "e"))), lambda x: x["e"]), ""), F.lit("</urlset>")).alias("xml"))
+    name = F.when(F.col("part") == 2, "products").otherwise(F.col("part").cast("string"))
+    docs = parts.select(F.concat(origin, F.lit("m/"), name, F.lit(".xml")).alias("url"), "xml")
+    index = lambda *names: F.concat(F.lit("<sitemapindex>"), *(x for n in names for x in (F.lit("<sitemap><loc>"), origin, F.lit(f"m/{n}.xml</loc></sitemap>"))), F.lit("</sitemapindex>"))
+    n = t("nation").select(F.col("n_nationkey").alias("k"))
+    docs = docs.unionByName(n.select(F.concat(origin, F.lit("m/root.xml")).alias("url"), index("0", "products", "nested", "1", "5").alias("xml"))).unionByName(n.select(F.concat(origin, F.lit("m/nested.xml")).alias("url"), index("3", "4").alias("xml")))
+    roots = n.select(origin.alias("site"), F.concat(origin, F.lit("m/root.xml")).alias("url"), F.lit(0).alias("ord"))
+    w = crawl.walk_sitemaps(roots, docs)
+    return w.groupBy("site", F.col("place").cast("long").alias("place")).agg(F.count("*").alias("pages"), F.min("loc").alias("first"), F.count("lastmod").alias("dated"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT page_id AS start, page_id AS url, 0 AS n FROM pages UNION ALL SELECT start, url + 7, n + 1 FROM n WHERE n < 4 AND EXISTS (SELECT 1 FROM pages p WHERE p.page_id = n.url + 7)) SELECT start, count(*) AS pages, max(url) AS last FROM n GROUP BY start""")
