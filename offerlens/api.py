@@ -6,11 +6,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from offerlens.functions import page as G
 from offerlens.functions import price as P
 from offerlens.functions import url as U
-from offerlens.html.extract import extract_offers
+from offerlens.html.extract import RUNGS, extract_offers
+from offerlens.html.links import next_page
+from offerlens.operators import crawl
 from offerlens.operators import discovery as D
 from offerlens.operators import offers as O
 from offerlens.operators import registry as R
@@ -26,6 +29,7 @@ class Options:
     exclude: list[str] = field(default_factory=list)
     most_targets: int = 10
     cap: int = 200
+    most_pages: int = 5
 
     def __post_init__(self):
         if self.mode not in ("auto", "always", "never"):
@@ -51,21 +55,42 @@ def targets(spark, urls: list[str], registry: DataFrame | None = None, most: int
     return t.where("url is not null").groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord", "url").limit(most)
 
 
-def scrape(pages: DataFrame, wanted: DataFrame | None = None, options: Options = Options()) -> dict[str, DataFrame]:  # noqa: B008 - frozen
+def scrape(pages: DataFrame, wanted: DataFrame | None = None, options: Options = Options(), found: DataFrame | None = None) -> dict[str, DataFrame]:  # noqa: B008 - frozen
     """Offers, reports and comparison groups of pages (url, html): extraction, merge, quality, filters, groups.
 
-    All pages are one comparison; `wanted` (url) narrows them.
+    wanted (url) narrows the pages; then the collected further pages of each one's listing count with it, up to
+    the first that adds nothing (J8). A column run of the pages tells comparisons apart, else all are one. found
+    (url, ord, discoveredFrom, candidateScore) says which pages discovery gave; its first row of a page goes on the
+    page's report (E1).
     """
-    p = pages if wanted is None else pages.join(wanted.select("url"), "url", "left_semi")
-    p = p.withColumn("site", U.site_name("url")).withColumn("key", U.canonicalize("url"))
-    raw = extract_offers(p, ["key"]).withColumn("page", F.col("key"))
-    merged = O.merge(raw, ["key"], options.cap, "page")
-    told = p.groupBy("key").agg(F.first("site").alias("site"), F.max(P.claimed_total("html")).alias("claimed"), F.max(G.detect_block("html")).alias("blockReason"), F.max(G.render_type("html")).alias("renderType"))
-    q = O.quality(merged.join(told.select("key", "claimed"), "key"), ["key"], F.col("key"), F.col("claimed"))
-    rungs = raw.groupBy("key").agg(F.collect_set("rung").alias("rungs"), F.max("selector").alias("selector"))
-    reports = D.reports(told.join(q, "key", "left").join(rungs, "key", "left").withColumn("productCount", F.coalesce("productCount", F.lit(0))))
+    run = F.col("run") if "run" in pages.columns else F.lit(1)
+    p = pages.withColumn("run", run)
+    if wanted is None:
+        p = p.withColumn("start", F.col("url")).withColumn("n", F.lit(0))
+    else:
+        follow = F.udf(next_page, StringType(), useArrow=True)
+        nexts = p.select("url", follow("html", "url").alias("next")).where("next is not null")
+        starts = wanted.select("url").distinct()
+        p = p.join(crawl.page_chains(starts, nexts, options.most_pages), "url")
+    p = p.withColumn("site", U.site_name("start")).withColumn("key", U.canonicalize("start"))
+    raw = extract_offers(p, ["run", "key", "n"]).withColumn("page", F.col("key")).withColumn("ord", F.col("n") * 1_000_000 + F.col("ord"))
+    if wanted is not None:
+        raw = crawl.until_nothing_new(raw, p.select("run", "key", "n").distinct(), ["run", "key"])
+    by = ["run", "key"]
+    merged = O.merge(raw, by, options.cap, "page")
+    first = p.where("n = 0")
+    told = first.groupBy(by).agg(F.first("site").alias("site"), F.max(P.claimed_total("html")).alias("claimed"), F.max(G.detect_block("html")).alias("blockReason"), F.max(G.render_type("html")).alias("renderType"))
+    q = O.quality(merged.join(told.select(*by, "claimed"), by), by, F.col("key"), F.col("claimed"))
+    order = F.array(*map(F.lit, RUNGS))
+    rungs = raw.groupBy(by).agg(F.collect_set("rung").alias("r_"), F.max("selector").alias("selector"))
+    rungs = rungs.select(*by, F.filter(order, lambda x: F.array_contains("r_", x)).alias("rungs"), "selector")
+    reports = D.reports(told.join(q, by, "left").join(rungs, by, "left").withColumn("productCount", F.coalesce("productCount", F.lit(0))))
+    if found is not None:
+        reports = D.provenance(reports, found)
     offers = O.min_discount(merged, options.min_discount)
-    groups = O.comparison_groups(offers.withColumn("run", F.lit(1)).withColumn("ord", F.xxhash64("key") % 1_000_000 * 1000 + F.col("ord")), ["run"]).drop("run")
+    groups = O.comparison_groups(offers.withColumn("ord", F.xxhash64("key") % 1_000_000 * 100_000_000 + F.col("ord")), ["run"])
+    if "run" not in pages.columns:
+        offers, reports, groups = (d.drop("run") for d in (offers, reports, groups))
     return {"offers": offers, "reports": reports, "groups": groups}
 
 

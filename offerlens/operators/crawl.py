@@ -81,6 +81,13 @@ def page_chains(starts: DataFrame, nexts: DataFrame, most: int = 5) -> DataFrame
     return out.select("start", "n", "url")
 
 
+def until_nothing_new(offers: DataFrame, chain: DataFrame, by: list[str]) -> DataFrame:
+    """A listing's offers (by, n, title, dealPrice) up to its first further page that adds none, repeats included."""
+    new = offers.groupBy(*by, F.lower("title"), "dealPrice").agg(F.min("n").alias("n")).select(*by, "n").distinct().withColumn("new_", F.lit(True))
+    stop = chain.where("n > 0").join(new, [*by, "n"], "left").where("new_ is null").groupBy(by).agg(F.min("n").alias("stop_"))
+    return offers.join(stop, by, "left").where(F.col("stop_").isNull() | (F.col("n") <= F.col("stop_"))).select(*offers.columns)
+
+
 def probes(homes: DataFrame, known: DataFrame, most: int = MOST_PROBES) -> DataFrame:
     """(site, url, path, ord) of the first conventional paths of each home's platform that are not known yet."""
     paths = homes.select("site", F.posexplode(G.probe_paths(F.coalesce("platform", F.lit("unknown")))).alias("ord", "path"), "origin")

@@ -183,9 +183,31 @@ def reports(attempts: DataFrame) -> DataFrame:
 
 
 def route(targets: DataFrame, mode: str = "auto") -> DataFrame:
-    """Front pages go to discovery, once for each site (the first one); the rest are read as they are."""
+    """Front pages go to discovery, once for each site (the first one); the rest are read as they are.
+
+    In mode always every page goes to discovery and is read as well; in mode never all are only read.
+    """
     site = U.registrable_domain(U.host("url"))
     found = {"always": site.isNotNull(), "never": F.lit(False)}.get(mode, U.is_root("url") & site.isNotNull())
-    rows = targets.withColumn("site", site).withColumn("route", F.when(found, "discover").otherwise("direct"))
+    ways = F.array_compact(F.array(F.when(found, "discover"), F.when(F.lit(mode == "always") | ~found, "direct")))
+    rows = targets.withColumn("site", site).withColumn("route", F.explode(ways))
     first = F.row_number().over(Window.partitionBy("route", F.when(F.col("route") == "discover", F.col("site")).otherwise(F.col("url"))).orderBy("ord"))
     return rows.withColumn("n_", first).where("n_ = 1").drop("n_")
+
+
+def all_targets(direct: DataFrame, found: DataFrame) -> DataFrame:
+    """Direct pages (url, ord), then discovered ones (url, ord) that are not among them, each once, in order."""
+    rows = direct.select("url", F.lit(0).alias("way"), "ord").unionByName(found.select("url", F.lit(1).alias("way"), "ord"))
+    once = rows.groupBy("url").agg(F.min(F.struct("way", "ord")).alias("o"))
+    return once.select("url", F.when(F.col("o.way") == 0, "direct").otherwise("discovered").alias("route"), F.col("o.ord").alias("ord"))
+
+
+def provenance(reports: DataFrame, found: DataFrame, key: str = "key") -> DataFrame:
+    """Reports with discoveredFrom and candidateScore of the first discovery of their page, by its canonical URL;
+    what they hold stays."""
+    told = ("discoveredFrom", "candidateScore")
+    f = found.groupBy(F.col("url").alias(key)).agg(F.min_by(F.struct(*told), "ord").alias("f_"))
+    rows = reports.join(f, key, "left")
+    for c in told:
+        rows = rows.withColumn(c, F.coalesce(c, f"f_.{c}") if c in reports.columns else F.col(f"f_.{c}"))
+    return rows.drop("f_")

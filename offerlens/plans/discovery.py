@@ -153,9 +153,31 @@ def probe_answers(spark, sf_dir):
 
 @query(
     """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS h FROM pages), d AS (SELECT *, list_aggregate(string_split(h, '.')[-2:], 'string_agg', '.') AS site FROM p), f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS n FROM d)
-  SELECT page_id, site FROM f WHERE n = 1"""
+  SELECT page_id, site, 'discover' AS route FROM f WHERE n = 1 UNION ALL SELECT min(page_id), site, 'direct' FROM d GROUP BY url, site"""
 )
 def discovery_routing(spark, sf_dir):
-    """D4 in mode always: the first page of each site."""
+    """D4 in mode always: the first page of each site to discovery, and every page as it is."""
     t = table(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").alias("ord"))
-    return D.route(t, "always").select("page_id", "site")
+    return D.route(t, "always").select("page_id", "site", "route")
+
+
+@query(
+    """WITH d AS (SELECT url, min(page_id) AS ord FROM pages WHERE page_id % 3 = 0 GROUP BY url), f AS (SELECT url, min(page_id) AS ord FROM pages WHERE page_id % 2 = 0 GROUP BY url)
+  SELECT coalesce(d.url, f.url) AS url, CASE WHEN d.url IS NULL THEN 'discovered' ELSE 'direct' END AS route, coalesce(d.ord, f.ord) AS ord FROM d FULL JOIN f ON d.url = f.url"""
+)
+def request_targets(spark, sf_dir):
+    """Every third page is asked for, every second one is discovered."""
+    p = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ord"))
+    return D.all_targets(p.where("ord % 3 = 0"), p.where("ord % 2 = 0"))
+
+
+@query(
+    """WITH f AS (SELECT url, 'site' || min(page_id) AS discoveredFrom, min(page_id) / CAST(4 AS DOUBLE) AS candidateScore FROM pages WHERE page_id % 2 = 0 GROUP BY url)
+  SELECT page_id, f.discoveredFrom, CASE WHEN page_id % 5 = 0 THEN CAST(9 AS DOUBLE) ELSE f.candidateScore END AS candidateScore FROM pages p LEFT JOIN f ON p.url = f.url"""
+)
+def report_provenance(spark, sf_dir):
+    """Reports of all pages, every fifth with a score of its own; every second page was discovered."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    reports = p.select("page_id", F.col("url").alias("key"), F.when(F.col("page_id") % 5 == 0, 9.0).alias("candidateScore"))
+    found = p.where("page_id % 2 = 0").select("url", F.col("page_id").alias("ord"), F.concat(F.lit("site"), "page_id").alias("discoveredFrom"), (F.col("page_id") / 4.0).alias("candidateScore"))
+    return D.provenance(reports, found).select("page_id", "discoveredFrom", "candidateScore")

@@ -53,3 +53,24 @@ def test_store_versions(spark, tmp_path):
 def test_lexicon_file():
     words, seasons = stores.lexicon_from('{"A": ["Soldes"], "C": ["deal"], "SEASON": {"soldes": [1, 7]}}')
     assert "soldes" in words[1.0] and "deal" in words[0.45] and "deal" not in words[1.0] and seasons["soldes"] == [1, 7]
+
+
+def test_scrape_follows_a_listing(spark):
+    card = '<div class="product"><h3>{}</h3><i class="price">৳{}</i><a href="/p/{}">x</a></div>'
+    page = lambda names, after: "".join(card.format(f"Thing of name {n}", 100 + n, n) for n in names) + (f'<a rel="next" href="{after}">n</a>' if after else "")
+    rows = [("https://s.test/l", page((1, 2), "/l?page=2")), ("https://s.test/l?page=2", page((2, 3), "/l?page=3")), ("https://s.test/l?page=3", page((1, 3), "/l?page=4")), ("https://s.test/l?page=4", page((4, 5), "/l")), ("https://t.test/", page((8, 9), "/gone"))]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    wanted = spark.createDataFrame([("https://s.test/l",), ("https://t.test/",)], "url string")
+    found = spark.createDataFrame([("https://s.test/l", 1, "later", 0.1), ("https://s.test/l", 0, "s.test", 0.9)], "url string, ord int, discoveredFrom string, candidateScore double")
+    out = api.scrape(pages, wanted, found=found)
+    got = {}
+    for r in out["offers"].collect():
+        got.setdefault(r["key"], set()).add(r["title"][-1])
+    assert got == {"https://s.test/l": {"1", "2", "3"}, "https://t.test/": {"8", "9"}}  # the third page adds nothing
+    reports = {r["key"]: r for r in out["reports"].collect()}
+    assert (reports["https://s.test/l"]["productCount"], reports["https://s.test/l"]["discoveredFrom"], reports["https://s.test/l"]["candidateScore"]) == (3, "s.test", 0.9)
+    assert reports["https://t.test/"]["discoveredFrom"] is None
+    one = api.scrape(pages, wanted, api.Options(most_pages=1))["offers"]
+    assert one.where("key = 'https://s.test/l'").count() == 2
+    runs = api.scrape(pages.withColumn("run", api.F.substring("url", 9, 1)))
+    assert {r["run"] for r in runs["offers"].select("run").distinct().collect()} == {"s", "t"}
