@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once by a Python worker; a longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: dict[str, np.ndarray] = {}
@@ -70,7 +70,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i below n."""
     if len(_powers.get("p", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = -(-n // 65536) * 65536  # as long as the texts need it
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
         with np.errstate(over="ignore"):
             for name, base in (("p", _P), ("q", inverse)):
