@@ -46,14 +46,15 @@ def js_round(x: Column) -> Column:
 
 
 def to_fixed(x: Column, digits: int = 3) -> Column:
-    """Text with so many decimals, rounded by the number's exact binary value (a formatter rounds its decimal form)."""
+    """Text with so many decimals, rounded by the number's exact binary value, halves to even (a formatter rounds its decimal form)."""
     unit = float(10**digits)
     m = F.floor(x * unit + 0.5)
     # sign of x - (m - 1/2) / unit, exactly: x in two halves whose products do not round
     c = x * 134217729.0
     hi = c - (c - x)
-    below = (hi * (2 * unit) - (2 * m - 1)) + (x - hi) * (2 * unit) < 0
-    return F.format_string(f"%.{digits}f", F.when(below, m - 1).otherwise(m) / unit)
+    past = (hi * (2 * unit) - (2 * m - 1)) + (x - hi) * (2 * unit)
+    down = (past < 0) | (past == 0) & (m % 2 != 0)
+    return F.format_string(f"%.{digits}f", F.when(down, m - 1).otherwise(m) / unit)
 
 
 def clamp01(x: Column) -> Column:

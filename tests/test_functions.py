@@ -61,6 +61,13 @@ def test_discount_and_rounding(spark):
     assert [r[0] for r in df.select(P.to_fixed(F.col("x"))).collect()] == ["%.3f" % x for x in (0.2125, 0.2135, 1.0, 0.0005, 2.9995)]
 
 
+
+def test_fixed_decimals_of_exact_halves_go_to_even(spark):
+    xs = [k / n for n in (16, 48, 67, 80) for k in range(n + 1)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.select(P.to_fixed(F.col("x"))).collect()] == ["%.3f" % x for x in xs]
+
+
 def test_claims_badges_prices_shown(spark):
     html = ["<p>showing 24 of 1,234 products</p>", "<b>৳</b> 96 items found", "<script>of 5 products</script>none", None]
     assert column(spark, html, P.claimed_total) == [1234, 96, None, None]
