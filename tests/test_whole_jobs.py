@@ -23,6 +23,20 @@ def test_similar_titles_equal_all_pairs(spark):
         assert got == want
 
 
+
+def test_similar_titles_tell_members_of_large_kinds_from_bounded_lists(spark):
+    words = [["red", "lamp", "desk"], ["red", "lamp", "wool"], ["blue", "lamp", "desk", "wool"], ["kettle"]]
+    rows = [(i, f"b{i % 2}", [*words[i % 7 % 4], f"pk{i}"]) for i in range(140)]
+    t = spark.createDataFrame(rows, "id long, brand string, tokens array<string>")
+    got = sorted(tuple(r) for r in O.similar_titles(t, ["brand"], 0.6, block=3).collect())
+    want = []
+    for (a, x, s), (b, y, u) in combinations(rows, 2):
+        j = len(set(s) & set(u)) / len(set(s) | set(u))
+        if x == y and j >= 0.6:
+            want.append((a, b, j))
+    assert got == want and len(want) > 500
+
+
 def naive_groups(offers, threshold=0.5, same_site=0.15, ratio=5.0):
     """The sequential rule on plain lists: each offer, by price, joins the best group or begins one."""
     groups = []
