@@ -7,14 +7,27 @@ and extra columns behave as the stages' operators document.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from offerlens.llm import decontaminate, langid, neardup, pieces, secrets
-from offerlens.llm.common import read, saved
+from offerlens.llm.common import bounded, read, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _bounded(stage):
+    """The stage with small Arrow batches: an executor's memory holds one of each task, in the JVM and in the worker."""
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        bounded(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language(spark, docs, sf_dir):
     """Drop documents without a letter; lang becomes the network's prediction, learned from the labelled rows."""
     net = langid.train(docs.select("doc_id", "text", "lang"))
@@ -41,7 +54,7 @@ def sentencepiece(spark, docs, sf_dir):
     return pieces.encode_pieces(docs)
 
 
-STAGES = [("language", language), ("dedup", dedup), ("decontamination", decontamination), ("secrets", secret_scan), ("sentencepiece", sentencepiece)]
+STAGES = [(name, _bounded(stage)) for name, stage in [("language", language), ("dedup", dedup), ("decontamination", decontamination), ("secrets", secret_scan), ("sentencepiece", sentencepiece)]]
 ORACLE_SQL = None
 
 

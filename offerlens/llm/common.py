@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Text handled at once by a Python worker; a longer text stands alone.
 SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch between JVM and worker, in sessions that bounded() has seen.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: dict[str, np.ndarray] = {}
@@ -26,15 +29,32 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
     for b in batches:
         if not b.num_rows:
             continue
-        col = pc.fill_null(b.column(b.schema.get_field_index(text)).cast(pa.large_string()), "")
-        size = np.diff(offsets(col))
+        raw = b.column(b.schema.get_field_index(text))
+        size = pc.fill_null(pc.binary_length(raw), 0).to_numpy()
+        cut = lambda start, n: (b.slice(start, n), pc.fill_null(raw.slice(start, n).cast(pa.large_string()), ""))  # noqa: B023, E731
         start, total = 0, 0
         for i, n in enumerate(size):
             if total and total + n > most:
-                yield b.slice(start, i - start), col.slice(start, i - start)
+                yield cut(start, i - start)
                 start, total = i, 0
             total += int(n)
-        yield b.slice(start), col.slice(start)
+        yield cut(start, b.num_rows - start)
+        del b, raw, cut
+    freed()
+
+
+def freed() -> None:
+    """Give what this worker no longer uses back to the system: a worker outlives its task and the next job's memory comes on top."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def bounded(spark) -> None:
+    """From now on this session hands Python workers batches of BATCH_ROWS rows and BATCH_BYTES bytes at most."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
 def offsets(arr: pa.Array) -> np.ndarray:

@@ -3,6 +3,9 @@
 import random
 import string
 
+import pyarrow as pa
+
+from offerlens.llm import common
 from offerlens.llm import license_scan as LS
 from offerlens.llm import secrets as SE
 
@@ -53,3 +56,15 @@ def test_a_word_of_many_files_counts_less_for_the_score(spark):
     text = "this is free and unencumbered software released into the public domain"
     rows[0] = (1, text)
     assert LS.scan_licenses(docs(spark, rows)).where("doc_id = 1").first()["labels"] == "unlicense"
+
+
+def test_slices_of_a_large_batch_copy_one_slice_at_a_time():
+    texts = [None, "", *("é" * n for n in range(0, 40_000, 40))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    held, most, seen = pa.total_allocated_bytes(), 0, []
+    for part, col in common.slices(iter([batch]), most=1 << 20):
+        most = max(most, pa.total_allocated_bytes() - held)
+        assert part.num_rows == len(col) and (len(col) == 1 or sum(map(len, (t.encode() for t in col.to_pylist()))) <= 1 << 20)
+        seen += zip(part.column(0).to_pylist(), col.to_pylist(), strict=True)
+    assert seen == [(i, t or "") for i, t in enumerate(texts)]
+    assert most < 8 << 20 < batch.nbytes
